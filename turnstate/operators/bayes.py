@@ -21,6 +21,9 @@ from turnstate.schemas import FIELDS, allowed_values
 LABEL_CLASSES = {f: allowed_values(f) for f in FIELDS}
 # Scores are compared after rounding so that the order of additions cannot break a tie.
 DIGITS = 9
+# Tokens with at least 1/FREQUENT of all training tokens are joined through SALTS keys.
+FREQUENT = 200
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -36,34 +39,31 @@ def train(examples: DataFrame, fields: Sequence[str] = FIELDS) -> Model:
     Counting first by all labels together keeps the exploded tokens single; the copies per
     field are made from the counts.
     """
-    words = examples.select("seq", *fields, tokens(F.col("text")).alias("_words"))
     per_field = F.explode(
         F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("label")) for f in fields])
     ).alias("_f")
-    docs = words.groupBy(*fields).agg(
-        F.count(F.lit(1)).alias("_docs"),
-        F.sum(F.size("_words")).alias("_total"),
-        F.min("seq").alias("_first"),
-    )
-    classes = (
-        docs.select(per_field, "_docs", "_total", "_first")
-        .groupBy("_f.field", "_f.label")
-        .agg(
-            F.sum("_docs").alias("doc_count"),
-            F.sum("_total").alias("total_tokens"),
-            F.min("_first").alias("first_seq"),
-        )
-    )
     counted = (
-        words.select(*fields, F.explode("_words").alias("token"))
+        examples.select(*fields, F.explode(tokens(F.col("text"))).alias("token"))
         .groupBy("token", *fields)
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("token", per_field, "_n")
         .groupBy("_f.field", "_f.label", "token")
         .agg(F.sum("_n").alias("cnt"))
     )
-    sizes = counted.select("field", "token").distinct().groupBy("field").agg(
-        F.count(F.lit(1)).alias("size")
+    # Texts are cut into tokens once; totals and vocabulary come from the counts.
+    docs = (
+        examples.groupBy(*fields)
+        .agg(F.count(F.lit(1)).alias("_docs"), F.min("seq").alias("_first"))
+        .select(per_field, "_docs", "_first")
+        .groupBy("_f.field", "_f.label")
+        .agg(F.sum("_docs").alias("doc_count"), F.min("_first").alias("first_seq"))
+    )
+    totals = counted.groupBy("field", "label").agg(F.sum("cnt").alias("_total"))
+    classes = docs.join(totals, ["field", "label"], "left").select(
+        "field", "label", "doc_count", F.coalesce("_total", F.lit(0)).alias("total_tokens"), "first_seq"
+    )
+    sizes = counted.groupBy("field", "token").agg(F.lit(1).alias("_one")).groupBy("field").agg(
+        F.count("_one").alias("size")
     )
     return Model(classes, counted, sizes)
 
@@ -89,14 +89,37 @@ def score(
     """
     names = [(f, l) for f, labels in classes.items() for l in labels]
     weights = model.tokens.groupBy("token").agg(
+        F.sum("cnt").alias("_seen"),
         *[
             F.max(F.when((F.col("field") == f) & (F.col("label") == l), F.log(F.col("cnt") + 1.0))).alias(f"_w{i}")
             for i, (f, l) in enumerate(names)
-        ]
+        ],
+    )
+    # A frequent token is a hot join key. Its texts spread over SALTS keys and its one model
+    # row is repeated for each; no more than FREQUENT tokens can reach the share.
+    everything = model.tokens.agg(F.sum("cnt").alias("_all")).withColumn("_one", F.lit(1))
+    frequent = (
+        model.tokens.groupBy("token")
+        .agg(F.sum("cnt").alias("_seen"))
+        .withColumn("_one", F.lit(1))
+        .join(F.broadcast(everything), "_one")
+        .filter(F.col("_seen") * FREQUENT >= F.col("_all"))
+        .select("token", F.lit(SALTS).alias("_salts"))
+    )
+    model_side = (
+        weights.drop("_seen")
+        .join(F.broadcast(frequent), "token", "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        .drop("_salts")
+    )
+    # The size is taken below the explode; above it, it would be computed once per token.
+    words = texts.select(*key, tokens(F.col("text")).alias("_words")).withColumn("_n", F.size("_words"))
+    rows = (
+        words.select(*key, "_n", F.explode_outer("_words").alias("token"))
+        .join(F.broadcast(frequent), "token", "left")
+        .withColumn("_salt", F.pmod(F.hash(*key), F.coalesce("_salts", F.lit(1))))
     )
-    words = tokens(F.col("text"))
-    rows = texts.select(*key, F.size(words).alias("_n"), F.explode_outer(words).alias("token"))
-    sums = rows.join(weights, "token", "left").groupBy(*key).agg(
+    sums = rows.join(model_side, ["token", "_salt"], "left").groupBy(*key).agg(
         F.max("_n").alias("token_count"),
         *[F.coalesce(F.sum(f"_w{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(names))],
     )

@@ -252,7 +252,7 @@ def _turn_nb() -> str:
         f"{WITH_HINTS}, {', '.join(parts)} SELECT interaction_id, turn_number, {picks}, {lv} AS levels,"
         " any_value(CASE WHEN len(w) > 0 THEN array_to_string(w[1:4], ' ') ELSE substr(human_input, 1, 160) END) AS evidence,"
         " 0.55::DOUBLE AS observer_confidence FROM rk JOIN rest USING (interaction_id, turn_number) GROUP BY ALL"
-    ).replace("GROUP BY ALL", "GROUP BY ALL")
+    )
 
 
 # --- few-shot examples
@@ -581,7 +581,7 @@ ORACLE: dict[str, str] = {
           chr(10) ORDER BY rank) AS block FROM rr JOIN ex USING (seq) GROUP BY ALL),
       texts AS (SELECT interaction_id, turn_number, 'fewshot_pack_id: pack-1' || chr(10) || 'fewshot_examples:' || chr(10) || coalesce(block, '')
         || chr(10) || chr(10) || 'target_turn:' || chr(10) || prompt AS t FROM prompted LEFT JOIN lines ON lines.target = prompted.interaction_id)
-      SELECT interaction_id, turn_number, length(t) AS prompt_length, md5(t) AS prompt_md5 FROM texts""".replace("{{", "{").replace("}}", "}"),
+      SELECT interaction_id, turn_number, length(t) AS prompt_length, md5(t) AS prompt_md5 FROM texts""",
     "quality_gate_reasons": f"""{WITH_HINTS}, {INTER}, q AS (SELECT interaction_id, CASE WHEN has_hint THEN {H} ELSE '' END AS holder,
         regexp_replace(CASE {dg(0, 8, 'e')} WHEN 0 THEN human_input || ' Just decide' WHEN 1 THEN 'What would you pick?' ELSE human_input END, '^\\s+|\\s+$', '', 'g') AS h,
         regexp_replace(CASE WHEN {dg(0, 8, 'e')} = 1 THEN 'As an AI I cannot.' ELSE ai_response END, '^\\s+|\\s+$', '', 'g') AS a

@@ -231,10 +231,12 @@ def document_contract(spark, sf):
     docs = IN.table(spark, sf, "documents").select("doc_id", "text")
     d = IN._digest("json", F.col("doc_id"))
     lines = F.split("text", "\n")
-    pair = lambda i: F.struct(
+    every_other = lambda r: F.filter(lines, lambda line, i: i % 2 == r)
+    texts = F.zip_with(every_other(0), every_other(1), lambda h, a: F.struct(h.alias("h"), a.alias("a")))
+    pair = lambda t, i: F.struct(
         F.when((digit(d, 0, 16) == 0) & (i == 0), F.lit(-1)).otherwise(i).alias("turn_number"),
-        F.get(lines, i * 2).alias("human_input"),
-        F.coalesce(F.get(lines, i * 2 + 1), F.lit("")).alias("ai_response"),
+        t["h"].alias("human_input"),
+        F.coalesce(t["a"], F.lit("")).alias("ai_response"),
         F.when((digit(d, 1, 16) == 0) & (i == 0), F.lit("x")).alias("mood"),
     )
     raw = F.to_json(
@@ -245,7 +247,7 @@ def document_contract(spark, sf):
                 F.when(digit(d, 3, 16) == 0, "").otherwise("human-1").alias("human_id"),
                 F.lit("ai-1").alias("ai_id"),
             ).alias("participants"),
-            F.transform(F.sequence(F.lit(0), F.ceil(F.size(lines) / 2).cast("int") - 1), pair).alias("turns"),
+            F.transform(texts, pair).alias("turns"),
             F.when(digit(d, 4, 16) == 0, "x").alias("extra"),
         )
     )
@@ -634,9 +636,10 @@ def nb_classes(spark, sf):
 @query
 def nb_score(spark, sf):
     model = B.train(_training_documents(spark, sf), ["quality", "toxic"])
-    rest = IN.table(spark, sf, "documents").join(
-        _training_documents(spark, sf).select(F.col("seq").alias("doc_id")), "doc_id", "left_anti"
-    ).select("doc_id", "text")
+    labelled = IN.table(spark, sf, "labels").filter(digit(IN._digest("train", F.col("doc_id")), 0, 2) == 0)
+    rest = IN.table(spark, sf, "documents").select("doc_id", "text").join(
+        labelled.select("doc_id"), "doc_id", "left_anti"
+    )
     rows = B.score(rest, model, key=["doc_id"], classes=DOC_CLASSES)
     return rows.select("doc_id", "field", "token_count", "label", F.round("margin", 4).alias("margin"), "level")
 
