@@ -34,7 +34,8 @@ def write_table(df: DataFrame, path: str, *, partitions: tuple[str, ...] = ()) -
     if partitions:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # The known schema also serves a table whose partitions are all empty.
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:

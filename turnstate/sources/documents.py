@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstate.operators.bayes import Model
 from turnstate.schemas import (
@@ -25,11 +26,9 @@ def read_interactions(spark: SparkSession, path: str) -> DataFrame:
 
     Columns: the interaction, its text `raw`, `source_path`, and `malformed`.
     """
-    files = spark.read.option("wholetext", True).text(path)
-    schema = INTERACTION.simpleString()[len("struct<"):-1] + ",_bad:string"
-    parsed = F.from_json(
-        F.col("value"), f"struct<{schema}>", {"columnNameOfCorruptRecord": "_bad"}
-    )
+    files = spark.read.text(path, wholetext=True)
+    schema = T.StructType([*INTERACTION.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json(F.col("value"), schema, {"columnNameOfCorruptRecord": "_bad"})
     return files.select(
         parsed.alias("d"), F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_path")
     ).select(
