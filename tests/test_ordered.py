@@ -58,6 +58,14 @@ def test_global_rank_equals_window(skewed, rows):
     assert rows(got.select("tie", "rank")) == rows(want.select("tie", "rank"))
 
 
+@pytest.mark.parametrize("max_rows", [3, 10_000])
+def test_global_rank_cuts_hot_buckets(skewed, rows, max_rows):
+    df = skewed.select("at", "tie")
+    got = global_rank(df, F.floor(F.col("at") / 5000), [F.col("at"), F.col("tie")], position=F.col("at"), max_rows=max_rows)
+    want = df.withColumn("rank", F.row_number().over(Window.orderBy("at", "tie")))
+    assert rows(got) == rows(want)
+
+
 @pytest.mark.parametrize("max_rows", [2, 1000])
 def test_turns_from_chat(spark, rows, max_rows):
     log = spark.createDataFrame(

@@ -17,11 +17,12 @@ def plan_items(scenarios: DataFrame, *, dataset_name: str, count: int, seed: int
         raise ValueError("count_per_scenario must be at least 1")
     blocks = (count - 1) // BLOCK
     rows = scenarios.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
-    if blocks:
-        rows = rows.repartition("scenario_id", "_block")
+    # Scenarios are few and each stands for much work: spread them before they multiply.
+    rows = rows.repartition("scenario_id", "_block")
     last = F.least((F.col("_block") + 1) * BLOCK, F.lit(count)) - 1
     rows = rows.withColumn("sample_index", F.explode(F.sequence(F.col("_block") * BLOCK, last)))
-    number = F.format_string("%03d", "sample_index")
+    digits = F.col("sample_index").cast("string")
+    number = F.lpad(digits, F.greatest(F.length(digits), F.lit(3)), F.lit("0"))
     interaction = F.concat_ws("-", F.lit(dataset_name), "scenario_id", number)
     return rows.drop("_block").select(
         "*",
@@ -34,15 +35,15 @@ def plan_items(scenarios: DataFrame, *, dataset_name: str, count: int, seed: int
 
 def pending_items(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """Items not accepted before, with the number of the attempt they are about to make."""
-    accepted = existing.filter(
-        (F.col("status") == "accepted") & F.coalesce(F.col("item_payload") != "", F.lit(False))
+    done = (F.col("status") == "accepted") & F.coalesce(F.col("item_payload") != "", F.lit(False))
+    known = existing.select(
+        "item_id", F.coalesce(done, F.lit(False)).alias("_done"), F.col("attempt_count").alias("_tried")
     )
-    tried = existing.select("item_id", F.col("attempt_count").alias("_tried"))
     return (
-        plan.join(accepted.select("item_id"), "item_id", "left_anti")
-        .join(tried, "item_id", "left")
+        plan.join(known, "item_id", "left")
+        .filter(~F.coalesce("_done", F.lit(False)))
         .withColumn("attempt_count", F.coalesce("_tried", F.lit(0)) + 1)
-        .drop("_tried")
+        .drop("_done", "_tried")
     )
 
 

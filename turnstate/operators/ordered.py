@@ -114,22 +114,28 @@ def adjacent(
 
 
 def global_rank(
-    df: DataFrame, bucket: Column, order_by: Sequence[Column], *, name: str = "rank"
+    df: DataFrame, bucket: Column, order_by: Sequence[Column], *, position: Column | None = None,
+    max_rows: int = HOT_ROWS, name: str = "rank",
 ) -> DataFrame:
     """1-based rank over the whole table without gathering it in one task.
 
     `bucket` must rise with the order and take a bounded number of values; only one count
-    per bucket is brought together.
+    per bucket is brought together. Where a bucket can be hot, `position` (a number that
+    rises with the order) cuts it further.
     """
     rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    if position is None:
+        rows = rows.withColumn("_chunk", F.lit(0))
+    else:
+        rows = split_hot_keys(rows, ["_bucket"], position, max_rows=max_rows)
+    counts = rows.groupBy("_bucket", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_bucket", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
+        "_bucket", "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy("_bucket").orderBy(*order_by)
+    inside = Window.partitionBy("_bucket", "_chunk").orderBy(*order_by)
     return (
-        rows.join(F.broadcast(offsets), "_bucket")
+        rows.join(F.broadcast(offsets), ["_bucket", "_chunk"])
         .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
         .select(*df.columns, name)
     )

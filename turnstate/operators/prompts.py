@@ -12,6 +12,7 @@ from turnstate.operators.labels import TURN_COLUMNS, _finish
 from turnstate.operators.ordered import CHUNK_ROWS, halo
 from turnstate.schemas import CONFIDENCE, FIELDS, SPAN
 
+EARLY_TURNS = 10_000
 # History length, cut of each side, attempts, and prompt wording.
 HISTORY_TURNS = 5
 HISTORY_CHARS = 300
@@ -86,17 +87,22 @@ def repair_prompt(prompt: Column, previous_response: Column) -> Column:
 def fallback_responses(turns: DataFrame, by_key: DataFrame, by_turn: DataFrame, default: str | None) -> DataFrame:
     """Response for (interaction, turn), else for the turn number, else the default.
 
-    Both joins are equi left joins; Spark broadcasts a side when its measured size allows
-    and otherwise splits hot turn numbers by the adaptive skew join.
+    Low turn numbers are hot keys (every conversation has a turn 0), so they are looked up
+    in a broadcast of at most EARLY_TURNS rows, and only the later ones are shuffled.
     """
     keyed = by_key.select(
         "interaction_id", "turn_number", F.col("response_text").alias("_by_key")
     )
-    turned = by_turn.select("turn_number", F.col("response_text").alias("_by_turn"))
+    turned = by_turn.groupBy("turn_number").agg(F.max("response_text").alias("_by_turn"))
+    early = F.col("turn_number").between(0, EARLY_TURNS - 1)
+    known = turns.join(keyed, ["interaction_id", "turn_number"], "left")
+    found = (
+        known.filter(early)
+        .join(F.broadcast(turned.filter(early)), "turn_number", "left")
+        .unionByName(known.filter(~early).join(turned.filter(~early), "turn_number", "left"))
+    )
     return (
-        turns.join(keyed, ["interaction_id", "turn_number"], "left")
-        .join(turned, "turn_number", "left")
-        .withColumn("response_text", F.coalesce("_by_key", "_by_turn", F.lit(default)))
+        found.withColumn("response_text", F.coalesce("_by_key", "_by_turn", F.lit(default)))
         .withColumn(
             "response_source",
             F.when(F.col("_by_key").isNotNull(), "key")
@@ -110,20 +116,27 @@ def fallback_responses(turns: DataFrame, by_key: DataFrame, by_turn: DataFrame,
 def first_valid_attempt(responses: DataFrame, *, attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Per model and turn the first of at most `attempts` responses that passes the rules.
 
-    `attempts` counts from 0. The list of tried responses is bounded by `attempts`.
+    `attempts` counts from 0. One column per attempt holds its response, so repeated log
+    rows of an attempt cannot make the list of tried responses grow.
     """
     key = ["model_id", "interaction_id", "turn_number"]
     checked = normalise(
         responses.filter(F.col("attempt") < attempts).select(*key, "attempt", "response_text")
     )
     good = F.col("parsed.reason").isNull()
+    tried = F.array(
+        *[
+            F.struct(F.lit(a).alias("attempt"), F.max(F.when(F.col("attempt") == a, F.col("response_text"))).alias("response_text"))
+            for a in range(attempts)
+        ]
+    )
     return (
         checked.groupBy(*key)
         .agg(
             F.min(F.when(good, F.col("attempt"))).alias("attempt"),
             F.min_by("parsed", F.when(good, F.col("attempt"))).alias("parsed"),
             F.max_by("parsed", "attempt")["reason"].alias("last_reason"),
-            F.array_sort(F.collect_list(F.struct("attempt", "response_text"))).alias("tried"),
+            F.filter(tried, lambda t: t["response_text"].isNotNull()).alias("tried"),
         )
         .withColumn("error", F.when(F.col("attempt").isNull(), F.col("last_reason")))
     )

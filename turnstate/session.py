@@ -36,3 +36,16 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
 
 def stream_checkpoint(spark: SparkSession, name: str, fallback: str | None = None) -> str:
     return os.path.join(checkpoint_root(spark, fallback), "streams", name)
+
+
+def sized_for(input_bytes: int, *, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Settings for an input size: enough shuffle partitions to keep each one in memory.
+
+    Adaptive execution merges the ones that turn out small.
+    """
+    partitions = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+    }
