@@ -6,7 +6,7 @@ A model is three tables: `classes(field, label, doc_count, total_tokens, first_s
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -33,11 +33,14 @@ class Model:
     vocabulary: DataFrame
 
 
-def train(examples: DataFrame, fields: Sequence[str] = FIELDS) -> Model:
+def train(
+    examples: DataFrame, fields: Sequence[str] = FIELDS, *,
+    saved: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> Model:
     """Count from examples with `seq`, `text` and one label column per field.
 
     Counting first by all labels together keeps the exploded tokens single; the copies per
-    field are made from the counts.
+    field are made from the counts. `saved` may write the counts and hand them back.
     """
     per_field = F.explode(
         F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("label")) for f in fields])
@@ -50,6 +53,7 @@ def train(examples: DataFrame, fields: Sequence[str] = FIELDS) -> Model:
         .groupBy("_f.field", "_f.label", "token")
         .agg(F.sum("_n").alias("cnt"))
     )
+    counted = saved(counted)
     # Texts are cut into tokens once; totals and vocabulary come from the counts.
     docs = (
         examples.groupBy(*fields)
@@ -79,47 +83,75 @@ def missing_fields(model: Model, fields: Sequence[str] = FIELDS) -> DataFrame:
     )
 
 
-def score(
-    texts: DataFrame, model: Model, *, key: Sequence[str], classes: Mapping[str, Sequence[str]] = LABEL_CLASSES
-) -> DataFrame:
-    """Best label and margin per text and field.
+@dataclass(frozen=True)
+class Scoring:
+    """A model laid out for scoring: `weights(token, _salt, _w0, _w1 ...)` with one weight per
+    class, `frequent(token, _salts)`, and `constants(field, label, ...)`, one row per class."""
 
-    The model is turned to one row per token with a weight per class, so each token of a
-    text is joined once, whatever the number of classes. `classes` lists every label.
+    weights: DataFrame
+    frequent: DataFrame
+    constants: DataFrame
+    classes: tuple[tuple[str, str], ...]
+
+
+def prepare(model: Model, classes: Mapping[str, Sequence[str]] = LABEL_CLASSES) -> Scoring:
+    """Lay a model out for scoring; `classes` lists every label.
+
+    A frequent token is a hot join key. Its texts spread over SALTS keys and its one model
+    row is repeated for each; no more than FREQUENT tokens can reach the share.
     """
-    names = [(f, l) for f, labels in classes.items() for l in labels]
-    weights = model.tokens.groupBy("token").agg(
+    names = tuple((f, l) for f, labels in classes.items() for l in labels)
+    wide = model.tokens.groupBy("token").agg(
         F.sum("cnt").alias("_seen"),
         *[
             F.max(F.when((F.col("field") == f) & (F.col("label") == l), F.log(F.col("cnt") + 1.0))).alias(f"_w{i}")
             for i, (f, l) in enumerate(names)
         ],
     )
-    # A frequent token is a hot join key. Its texts spread over SALTS keys and its one model
-    # row is repeated for each; no more than FREQUENT tokens can reach the share.
     everything = model.tokens.agg(F.sum("cnt").alias("_all")).withColumn("_one", F.lit(1))
-    frequent = (
-        model.tokens.groupBy("token")
-        .agg(F.sum("cnt").alias("_seen"))
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(everything), "_one")
-        .filter(F.col("_seen") * FREQUENT >= F.col("_all"))
-        .select("token", F.lit(SALTS).alias("_salts"))
+    marked = wide.withColumn("_one", F.lit(1)).join(F.broadcast(everything), "_one").withColumn(
+        "_salts", F.when(F.col("_seen") * FREQUENT >= F.col("_all"), SALTS).otherwise(1)
+    )
+    weights = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    totals = model.classes.groupBy("field").agg(F.sum("doc_count").alias("_docs"))
+    size = F.greatest(F.coalesce("size", F.lit(0)), F.lit(1))
+    constants = (
+        model.classes.join(totals, "field")
+        .join(model.vocabulary, "field", "left")
+        .select(
+            "field", "label", "first_seq",
+            F.log(F.col("doc_count") / F.col("_docs")).alias("prior"),
+            F.log((F.col("total_tokens") + size).cast("double")).alias("per_token"),
+        )
     )
-    model_side = (
-        weights.drop("_seen")
-        .join(F.broadcast(frequent), "token", "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_salts")
+    return Scoring(
+        weights.drop("_seen", "_one", "_all", "_salts"),
+        marked.filter(F.col("_salts") > 1).select("token", "_salts"),
+        constants,
+        names,
     )
+
+
+def score(
+    texts: DataFrame, model: Model | Scoring, *, key: Sequence[str],
+    classes: Mapping[str, Sequence[str]] = LABEL_CLASSES,
+) -> DataFrame:
+    """Best label and margin per text and field.
+
+    Each token of a text is joined once, whatever the number of classes. A stored `Scoring`
+    has a known size, so Spark broadcasts it when it fits and shuffles by (token, salt)
+    when it does not.
+    """
+    ready = model if isinstance(model, Scoring) else prepare(model, classes)
+    names = ready.classes
     # The size is taken below the explode; above it, it would be computed once per token.
     words = texts.select(*key, tokens(F.col("text")).alias("_words")).withColumn("_n", F.size("_words"))
     rows = (
         words.select(*key, "_n", F.explode_outer("_words").alias("token"))
-        .join(F.broadcast(frequent), "token", "left")
+        .join(F.broadcast(ready.frequent), "token", "left")
         .withColumn("_salt", F.pmod(F.hash(*key), F.coalesce("_salts", F.lit(1))))
     )
-    sums = rows.join(model_side, ["token", "_salt"], "left").groupBy(*key).agg(
+    sums = rows.join(ready.weights, ["token", "_salt"], "left").groupBy(*key).agg(
         F.max("_n").alias("token_count"),
         *[F.coalesce(F.sum(f"_w{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(names))],
     )
@@ -131,23 +163,11 @@ def score(
             ]
         )
     ).alias("c")
-    totals = model.classes.groupBy("field").agg(F.sum("doc_count").alias("_docs"))
     # One row per class, and the classes are the ones listed: a fixed bound.
-    constants = (
-        model.classes.join(totals, "field")
-        .join(model.vocabulary, "field", "left")
-        .select(
-            "field", "label", "first_seq",
-            F.log(F.col("doc_count") / F.col("_docs")).alias("prior"),
-            F.log(
-                F.col("total_tokens") + F.greatest(F.coalesce("size", F.lit(0)), F.lit(1)) + F.lit(0.0)
-            ).alias("per_token"),
-        )
-    )
     scored = (
         sums.select(*key, "token_count", by_class)
         .select(*key, "token_count", "c.*")
-        .join(F.broadcast(constants), ["field", "label"])
+        .join(F.broadcast(ready.constants), ["field", "label"])
         .withColumn(
             "_score",
             F.round(F.col("prior") + F.col("weight") - F.col("token_count") * F.col("per_token"), DIGITS),
@@ -165,7 +185,7 @@ def score(
     ).withColumn("level", margin_level(F.col("margin")))
 
 
-def bayes_labels(turns: DataFrame, model: Model, *, model_id: str = "naive-bayes-v1") -> DataFrame:
+def bayes_labels(turns: DataFrame, model: Model | Scoring, *, model_id: str = "naive-bayes-v1") -> DataFrame:
     """Label track: both texts of a turn scored against a trained model."""
     key = ["interaction_id", "turn_number"]
     text = F.concat_ws(" ", "human_input", "ai_response")

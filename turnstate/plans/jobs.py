@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstate.functions.identity import dataset_run_id
-from turnstate.operators import catalog, compare, contracts, fewshot, generate, labels, prompts, states
+from turnstate.operators import bayes, catalog, compare, contracts, fewshot, generate, labels, prompts, states
 from turnstate.operators.quality import quality_gate
 from turnstate.operators.resume import dataset_run_counts, with_stored
 from turnstate.operators.splits import assign_splits
 from turnstate.sinks import tables
+from turnstate.sources.documents import flatten_turns, read_interactions, read_model
 
 Track = Callable[[DataFrame], DataFrame]
 
@@ -294,6 +295,14 @@ def observer_job(turns: DataFrame, responses: DataFrame, *, model_id: str) -> tu
     )
 
 
+def train_bayes(examples: DataFrame, path: str, *, classes: Mapping[str, Sequence[str]] = bayes.LABEL_CLASSES) -> bayes.Scoring:
+    """Train, store the model, and store it once more laid out for scoring."""
+    saved = lambda counts: tables.write_table(counts, f"{path}/counts")
+    tables.write_model(bayes.train(examples, list(classes), saved=saved), f"{path}/model")
+    model = read_model(examples.sparkSession, f"{path}/model", fields=list(classes))
+    return tables.write_scoring(bayes.prepare(model, classes), f"{path}/scoring")
+
+
 def resume_extraction(turns: DataFrame, stored: DataFrame, track: Track) -> tuple[DataFrame, DataFrame]:
     """New labels for turns that cannot reuse a stored one, and the turns marked."""
     marked = with_stored(turns, stored)
@@ -308,8 +317,6 @@ def regression_report(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 
 def load_turns(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Interactions and flat turns of a folder of documents."""
-    from turnstate.sources.documents import flatten_turns, read_interactions
-
     docs = read_interactions(spark, path)
     flat = docs.select("interaction_id", "context_module", "participants.human_id", "participants.ai_id")
     return flat, flatten_turns(docs)

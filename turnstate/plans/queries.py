@@ -28,7 +28,7 @@ from turnstate.operators.quality import quality_gate
 from turnstate.plans import inputs as IN
 from turnstate.plans import jobs as J
 from turnstate.schemas import FIELDS, INTERACTION
-from turnstate.session import stream_checkpoint
+from turnstate.session import CHECKPOINT_KEY, checkpoint_root
 from turnstate.sinks.tables import preview
 from turnstate.sources import documents as DOC
 from turnstate.streaming.incremental import delta_stream
@@ -593,6 +593,13 @@ def regression_top_items(spark, sf):
     return _rounded(CMP.top_items(_benchmark_items(spark, sf)).select("interaction_id", "scenario_id", "rate"), "rate")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table, in the shared folder of the session."""
+    unset = spark.conf.get(CHECKPOINT_KEY, None) is None
+    fallback = tempfile.mkdtemp(prefix="turnstate-") if unset else None
+    return f"{checkpoint_root(spark, fallback)}/{name}-{os.urandom(6).hex()}"
+
+
 # --- Naive Bayes
 
 DOC_CLASSES = {"quality": ["0", "1"], "toxic": ["0", "1"]}
@@ -635,12 +642,12 @@ def nb_classes(spark, sf):
 
 @query
 def nb_score(spark, sf):
-    model = B.train(_training_documents(spark, sf), ["quality", "toxic"])
+    model = J.train_bayes(_training_documents(spark, sf), _folder(spark, "nb-documents"), classes=DOC_CLASSES)
     labelled = IN.table(spark, sf, "labels").filter(digit(IN._digest("train", F.col("doc_id")), 0, 2) == 0)
     rest = IN.table(spark, sf, "documents").select("doc_id", "text").join(
         labelled.select("doc_id"), "doc_id", "left_anti"
     )
-    rows = B.score(rest, model, key=["doc_id"], classes=DOC_CLASSES)
+    rows = B.score(rest, model, key=["doc_id"])
     return rows.select("doc_id", "field", "token_count", "label", F.round("margin", 4).alias("margin"), "level")
 
 
@@ -656,7 +663,8 @@ def nb_turn_labels(spark, sf):
     examples = _turn_examples(spark, sf).filter(
         digit(IN._digest("train", F.col("interaction_id"), F.col("turn_number")), 0, 2) == 0
     )
-    model = B.train(examples.withColumn("text", F.concat_ws(" ", "human_input", "ai_response")))
+    texts = examples.withColumn("text", F.concat_ws(" ", "human_input", "ai_response"))
+    model = J.train_bayes(texts, _folder(spark, "nb-turns"))
     return B.bayes_labels(IN.turns(spark, sf), model).select(
         "interaction_id", "turn_number", *FIELDS, _levels().alias("levels"),
         F.get("evidence_spans", F.lit(0))["text"].alias("evidence"), "observer_confidence",
@@ -1048,8 +1056,7 @@ def progress_turns(spark, sf):
 @query
 def stream_event_deltas(spark, sf):
     """`event_deltas` from a file stream with kept state; the output is a written table."""
-    root = tempfile.mkdtemp(prefix="turnstate-") if spark.conf.get("spark.checkpoint.dir", None) is None else None
-    base = stream_checkpoint(spark, f"event-deltas-{os.urandom(6).hex()}", fallback=root)
+    base = _folder(spark, "event-deltas")
     schema = IN.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     steps = delta_stream(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # Read from the session; a local default is set only where the key is absent.
@@ -34,10 +32,6 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     return root.rstrip("/")
 
 
-def stream_checkpoint(spark: SparkSession, name: str, fallback: str | None = None) -> str:
-    return os.path.join(checkpoint_root(spark, fallback), "streams", name)
-
-
 def sized_for(input_bytes: int, *, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Settings for an input size: enough shuffle partitions to keep each one in memory.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstate.operators.bayes import Model
+from turnstate.operators.bayes import Model, Scoring
 from turnstate.sources.documents import MODEL_VERSION
 
 
@@ -59,6 +59,16 @@ def write_model(model: Model, path: str) -> None:
     write_table(model.vocabulary, f"{path}/vocabulary")
 
 
+def write_scoring(scoring: Scoring, path: str) -> Scoring:
+    """Store the scoring tables and hand back the stored ones, whose sizes Spark knows."""
+    return Scoring(
+        write_table(scoring.weights, f"{path}/weights"),
+        write_table(scoring.frequent, f"{path}/frequent"),
+        write_table(scoring.constants, f"{path}/constants"),
+        scoring.classes,
+    )
+
+
 def publish_if_complete(
     spark: SparkSession, items: DataFrame, *, staging: str, target_path: str, target_count: int
 ) -> int:

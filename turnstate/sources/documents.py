@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,10 +121,10 @@ def completed_items(items: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def read_model(spark: SparkSession, path: str) -> Model:
+def read_model(spark: SparkSession, path: str, *, fields: Sequence[str] = FIELDS) -> Model:
     """Load model tables; reading them fails on another version or a missing field."""
     table = lambda name: spark.read.parquet(f"{path}/{name}")
-    wanted = F.array(*[F.lit(f) for f in FIELDS])
+    wanted = F.array(*[F.lit(f) for f in fields])
     check = table("classes").agg(
         F.bool_and(F.col("version") == MODEL_VERSION).alias("_same"),
         F.array_except(wanted, F.collect_set("field")).alias("_missing"),
