@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from turnstate.operators import bayes, catalog, compare, generate, labels, prompts, states
+from turnstate.operators import bayes, catalog, compare, generate, labels, prompts, resume, states
 from turnstate.plans import inputs as IN
 from turnstate.plans import jobs
-from turnstate.schemas import FIELDS
+from turnstate.schemas import CONFIDENCE, FIELDS
 from turnstate.sinks import tables
 from turnstate.sources import documents
 from turnstate.streaming.incremental import delta_stream, resume_stream
@@ -244,3 +244,40 @@ def test_delta_sums_telescope(spark):
 def test_rates_stay_in_range(spark):
     items = compare.comparison_summary(compare.last_per_turn(IN.compared_labels(spark, SF)))
     assert items.filter("rate < 0 or rate > 1").count() == 0
+
+
+def test_fallback_lookup(spark, rows, monkeypatch):
+    t = spark.createDataFrame([("i", n) for n in range(4)] + [("j", 0)], "interaction_id string, turn_number int")
+    by_key = spark.createDataFrame([("i", 0, "k0"), ("i", 3, "k3")], "interaction_id string, turn_number int, response_text string")
+    by_turn = spark.createDataFrame([(0, "t0"), (2, "t2"), (3, "t3")], "turn_number int, response_text string")
+    want = [("i", 0, "k0", "key"), ("i", 1, "d", "default"), ("i", 2, "t2", "turn"), ("i", 3, "k3", "key"), ("j", 0, "t0", "turn")]
+    for early in (10_000, 1):
+        monkeypatch.setattr(prompts, "EARLY_TURNS", early)
+        got = prompts.fallback_responses(t, by_key, by_turn, "d")
+        assert rows(got.select("interaction_id", "turn_number", "response_text", "response_source")) == want
+
+
+def test_resume_job_and_progress(spark, small, rows):
+    _, turns = small
+    good = turns.filter("interaction_id = 'good'")
+    stored = good.filter("pos = 0").withColumn("seq", F.lit(0))
+    fresh, marked = jobs.resume_extraction(good, stored, labels.rule_labels)
+    assert rows(fresh.select("turn_number")) == [(1,), (2,)]
+    marked = marked.withColumn("done", F.col("pos") < 2)
+    assert rows(resume.run_progress(marked)) == [("good", 3, 2, 1, 1, "running")]
+    assert rows(resume.progress_turns(marked, part_turns=2)) == [("good", 0, [0], [1]), ("good", 1, [], [])]
+
+
+def test_matrix_benchmark_and_report(spark, rows):
+    values = [("base", "i", 0, 0, "AI", "Absent", "Active", "None"), ("base", "i", 1, 0, "AI", "Absent", "Active", "None"),
+              ("x", "i", 0, 0, "Human", "Absent", "Active", "None"), ("y", "i", 1, 0, "AI", "Absent", "Active", "None"),
+              ("x", "other", 0, 0, "AI", "Absent", "Active", "None"), ("y", "i", 7, 0, "AI", "Absent", "Active", "None")]
+    cols = "run_key string, interaction_id string, turn_number int, seq int, " + ", ".join(f"{f} string" for f in FIELDS)
+    data = spark.createDataFrame(values, cols).withColumn("confidence", F.lit(None).cast(CONFIDENCE))
+    pairs, summary, ensemble = jobs.benchmark_matrix(data, baseline="base")
+    assert rows(pairs.select("label", "interaction_id", "turns_compared", "rate")) == [("x", "i", 1, 0.25), ("y", "i", 1, 0.0)]
+    assert rows(summary) == [("x", 1, 0.25, 0.25), ("y", 1, 0.0, 0.0)]
+    assert rows(ensemble.turns.select("turn_number", "runs_missing")) == [(0, ["y"]), (1, ["x"])]
+    items = ensemble.summary.withColumn("example_count", F.lit(0))
+    _, fields, worst = jobs.regression_report(items)
+    assert fields.first()["field"] == "judgment_holder" and worst.first()["interaction_id"] == "i"
