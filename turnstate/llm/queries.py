@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstate.llm import secrets, sharding, simhash
+from turnstate.llm import secrets, sharding, simhash, templates, url_templates
 from turnstate.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,36 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+# The rules every page is judged by.
+URL_RULES = [
+    url_templates.Rule("allow", "org", "/"),
+    url_templates.Rule("block", "example.org", "/es/"),
+    url_templates.Rule("block", "example.org", "/en/1"),
+    url_templates.Rule("allow", "com", "/fr/"),
+    url_templates.Rule("block", "com", "/de/"),
+]
+
+
+def labelled_pages(spark, sf_dir):
+    """(page_id, url, bad): a page shows the document whose number is in its path; bad means
+    toxic or of low quality by that document's label, and null without one."""
+    labels = table(spark, sf_dir, "labels").filter("doc_id is not null").groupBy("doc_id").agg(
+        F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad")
+    )
+    path = url_templates.host_and_path(F.col("url"))[1]
+    number = F.expr("try_cast(n as bigint)")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract(path, "/([0-9]+)", 1).alias("n"))
+    pages = pages.select("page_id", "url", number.alias("doc_id"))
+    return pages.join(labels, "doc_id", "left").select("page_id", "url", "bad")
+
+
+@query
+def op1_url_filters(spark, sf_dir):
+    """Host, path, rule and verdict of every page."""
+    rows = url_templates.judge(labelled_pages(spark, sf_dir), URL_RULES)
+    return rows.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.template")
+
+
 @query
 def op5_sharding(spark, sf_dir):
     """The shard of every document: hash prefix, its length in bits and the text's bytes."""
@@ -37,6 +67,13 @@ def op8_secret_scans(spark, sf_dir):
     return rows.select("doc_id", "secrets.*")
 
 
+@query
+def op9_line_dedup(spark, sf_dir):
+    """Every document without the lines whose template an earlier document has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return templates.drop_recurring_lines(docs)
+
+
 @query
 def op10_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component of every document, three-word shingles, 3 bits."""
