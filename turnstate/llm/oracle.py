@@ -92,6 +92,23 @@ FROM (
 JOIN leaves l ON t.host = l.host AND t.template = l.template
 """
 
+ORACLE["op4_top_k_search"] = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS vector FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_inner_product(q.vector::DOUBLE[], c.vector::DOUBLE[])::BIGINT AS score
+  FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.vector) = len(c.vector) WHERE q.vec_id % 20 = 0
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 # Prefix sizes for every depth up to 20; the deepest bucket in use here is far above that.
 ORACLE["op5_sharding"] = """
 WITH rows AS (

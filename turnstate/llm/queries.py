@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstate.llm import secrets, sharding, simhash, templates, url_templates
+from turnstate.llm import secrets, sharding, simhash, templates, topk, url_templates
 from turnstate.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def op1_url_filters(spark, sf_dir):
     return rows.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.template")
 
 
+@query
+def op4_top_k_search(spark, sf_dir):
+    """The 20 best inner products of every query vector, over all vectors."""
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op5_sharding(spark, sf_dir):
     """The shard of every document: hash prefix, its length in bits and the text's bytes."""
