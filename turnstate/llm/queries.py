@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstate.llm import secrets, sharding, simhash, templates, topk, url_templates
+from turnstate.llm import byte_bpe, secrets, sharding, simhash, templates, topk, url_templates
 from turnstate.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 SHARD_BYTES = 2 * 1024 * 1024
 
 
@@ -53,6 +55,14 @@ def op1_url_filters(spark, sf_dir):
     return rows.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.template")
 
 
+@query
+def op2_byte_level_bpe(spark, sf_dir):
+    """Token count and digests of ids and decoded bytes of every document."""
+    path = public_tokenizers.path(BPE_RANKS)
+    rows = byte_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return rows.select("doc_id", "tokens.*")
+
+
 @query
 def op4_top_k_search(spark, sf_dir):
     """The 20 best inner products of every query vector, over all vectors."""
