@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstate.llm import byte_bpe, secrets, sharding, simhash, templates, topk, url_templates
+from turnstate.llm import byte_bpe, decontaminate, secrets, sharding, simhash, templates, topk, url_templates
 from turnstate.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,13 @@ def op2_byte_level_bpe(spark, sf_dir):
     return rows.select("doc_id", "tokens.*")
 
 
+@query
+def op3_benchmark_decontamination(spark, sf_dir):
+    """Benchmark items found in documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_top_k_search(spark, sf_dir):
     """The 20 best inner products of every query vector, over all vectors."""
