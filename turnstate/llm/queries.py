@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstate.llm import byte_bpe, decontaminate, secrets, sharding, simhash, templates, topk, url_templates
+from turnstate.llm import byte_bpe, decontaminate, secrets, sharding, simhash, templates, topk, toxicity, url_templates
 from turnstate.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,14 @@ def op5_sharding(spark, sf_dir):
     return rows.select("doc_id", F.col("shard.name").alias("shard"), F.col("shard.level").alias("level"), F.col("shard.bytes").alias("n_bytes"))
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    """Expected severity, grade and decision of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    return rows.select("doc_id", "toxicity.severity", "toxicity.grade", (F.col("toxicity.grade") >= 1).alias("toxic"))
+
+
 @query
 def op8_secret_scans(spark, sf_dir):
     """Spans of secrets in every document."""
