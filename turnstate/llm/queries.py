@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstate.llm import byte_bpe, decontaminate, secrets, sharding, simhash, templates, topk, toxicity, url_templates
+from turnstate.llm import byte_bpe, decontaminate, language_crf, secrets, sharding, simhash, templates, topk, toxicity, url_templates
 from turnstate.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,16 @@ def op6_toxicity(spark, sf_dir):
     return rows.select("doc_id", "toxicity.severity", "toxicity.grade", (F.col("toxicity.grade") >= 1).alias("toxic"))
 
 
+@query
+def op7_language_id(spark, sf_dir):
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    kept_out = language_crf.held_out(F.col("doc_id"))
+    model = language_crf.fit(docs.filter(~kept_out))
+    rows = language_crf.predict(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", kept_out.alias("held_out"), F.col("language.label").alias("lang_pred"), "language.score")
+
+
 @query
 def op8_secret_scans(spark, sf_dir):
     """Spans of secrets in every document."""
