@@ -226,15 +226,15 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The rows of `docs` with an array<long> of token ids; a null or empty text has none.
+    """The rows of `docs` with an array<int> of token ids; a null or empty text has none.
 
     Texts are encoded whole, without special tokens. An existing column `ids` is replaced.
     """
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(codec(path, pattern).batches(texts)), dtype=object)
+        return pd.Series([row.astype(np.int32) for row in codec(path, pattern).batches(texts)], dtype=object)
 
-    return docs.withColumn(ids, F.pandas_udf(run, "array<long>")(F.col(text)))
+    return docs.withColumn(ids, F.pandas_udf(run, "array<int>")(F.col(text)))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -260,3 +260,18 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.withColumn("tokens", F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.col(text)))
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "tokens") -> DataFrame:
+    """The rows of `docs` with struct column `tokens`: the ids, their number, and whether
+    decoding them gives the text back byte for byte."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        own = codec(path, pattern)
+        rows = [
+            (ids.astype(np.int32), len(ids), own.decode(ids) == (text or "").encode("utf-8"))
+            for text, ids in zip(texts, own.batches(texts))
+        ]
+        return pd.DataFrame(rows, columns=["ids", "n_tokens", "restored"])
+
+    return docs.withColumn(name, F.pandas_udf(run, "ids array<int>, n_tokens long, restored boolean")(F.col(text)))
