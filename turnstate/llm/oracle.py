@@ -73,7 +73,7 @@ tree0 AS (
 ),{_url_levels(8)},
 prior AS (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0) AS share FROM tree8),
 leaves AS (
-  SELECT host, template, 1 - (sum(bad) + 20 * any_value(share)) / (sum(labelled) + 20) AS purity
+  SELECT host, template, sum(labelled) > 0 AND 1 - (sum(bad) + 20 * any_value(share)) / (sum(labelled) + 20) < 0.7 AS rejected
   FROM tree8, prior GROUP BY host, template
 )
 SELECT m.page_id, m.host, m.path,
@@ -83,7 +83,7 @@ SELECT m.page_id, m.host, m.path,
     WHEN org AND path LIKE '/%' THEN 'org/' END AS rule,
   CASE WHEN org_site AND (path LIKE '/en/1%' OR path LIKE '/es/%') THEN 'block'
     WHEN com AND path LIKE '/fr/%' THEN 'allow' WHEN com AND path LIKE '/de/%' THEN 'block'
-    WHEN org AND path LIKE '/%' THEN 'allow' WHEN purity < 0.7 THEN 'block' ELSE 'allow' END AS verdict,
+    WHEN org AND path LIKE '/%' THEN 'allow' WHEN rejected THEN 'block' ELSE 'allow' END AS verdict,
   t.template
 FROM (
   SELECT *, host = 'org' OR host LIKE '%.org' AS org, host = 'com' OR host LIKE '%.com' AS com,

@@ -105,7 +105,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", bad: str = "bad
 
     `bad` is 0 or 1 for labelled pages and null for others. Null urls and urls without `://`
     have an empty host and path and share the template of those. Repeated rows count once
-    each. Without any label the purity is 1 and nothing is rejected. Existing columns keep their
+    each. A template without labels has the overall purity and is not rejected. Existing columns keep their
     values; a column `judged` is replaced.
     """
     host, path = host_and_path(F.col(url))
@@ -116,9 +116,10 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", bad: str = "bad
     prior = (wrong or 0) / labelled if labelled else 0.0
     leaves = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     purity = 1 - (F.col("bad") + F.lit(PRIOR_ROWS * prior)) / (F.col("labelled") + PRIOR_ROWS)
-    leaves = leaves.select("host", "template", purity.alias("purity"))
+    rejected = (purity < MIN_PURITY) & (F.col("labelled") > 0)
+    leaves = leaves.select("host", "template", purity.alias("purity"), rejected.alias("rejected"))
     verdicts = tree.select("host", "masked", "template").join(leaves, ["host", "template"])
     rule, action = longest_rule(F.col("host"), F.col("path"), rules)
-    verdict = F.coalesce(action, F.when(F.col("purity") < MIN_PURITY, "block").otherwise("allow"))
+    verdict = F.coalesce(action, F.when(F.col("rejected"), "block").otherwise("allow"))
     judged = F.struct("host", "path", rule.alias("rule"), "template", "purity", verdict.alias("verdict"))
     return rows.drop("bad").join(verdicts, ["host", "masked"]).select("row.*", judged.alias("judged"))
