@@ -23,8 +23,8 @@ from turnstate.llm.tables import stored
 
 PIVOTS = 32
 PIVOT_ROWS = 4096  # rows of the sample that pivots are picked from; any pivots give the same result
-CANDIDATES, QUERIES = 1024, 4096  # rows of a block
-CHUNK = 128  # candidates scored between two looks at the bound
+CANDIDATES, QUERIES = 2048, 4096  # rows of a block
+CHUNK = 128  # candidates scored before the first look at the bound
 EXACT = 2**53  # integers below are exact as doubles
 
 
@@ -61,53 +61,71 @@ def pivot_distances(pivots: dict[int, np.ndarray]):
     return F.pandas_udf(run, "array<double>")
 
 
-def inner(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products, exact: as doubles where they fit, else as Python integers."""
-    most = float(np.abs(rows).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query))
-    if most < EXACT:
-        return (rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    products = rows.astype(object) @ query.astype(object)
-    return np.array([min(max(int(p), -(2**63)), 2**63 - 1) for p in products], dtype=np.int64)
-
-
-def best_of_block(query: np.ndarray, table: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, tables: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, scores) of the k best candidates for one query, ties to the smaller id."""
-    lower = np.abs(tables - table).max(axis=1)
-    square = float(np.dot(query.astype(np.float64), query.astype(np.float64)))
-    # Slack for rounding: a bound that is a little high only costs an evaluation.
-    lower = np.maximum(lower * (1 - 1e-9) - 1e-6, 0)
-    upper = (square + norms - lower * lower) / 2
-    upper += 1 + 1e-9 * (square + norms)
-    order = np.argsort(-upper, kind="stable")
-    order = order[ids[order] != own]
-    places, scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    for start in range(0, len(order), CHUNK):
-        if len(scores) == k and upper[order[start]] < scores[-1]:
-            break
-        chunk = order[start : start + CHUNK]
-        places = np.concatenate([places, chunk])
-        scores = np.concatenate([scores, inner(rows[chunk], query)])
-        keep = np.lexsort((ids[places], -scores))[:k]
-        places, scores = places[keep], scores[keep]
-    return places, scores
+class Block:
+    """Candidates of one length with what is computed once for all queries that meet them."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, tables: np.ndarray) -> None:
+        self.ids, self.rows = ids, rows
+        self.values = rows.astype(np.float64)
+        self.tables = np.ascontiguousarray(tables.T)  # a row per pivot
+        self.squares = np.square(self.values).sum(axis=1)
+        self.most = float(np.abs(self.values).max())
+
+    def upper(self, query: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """At least the inner product with each candidate. Slack for rounding only costs an evaluation."""
+        lower = np.abs(self.tables - table[:, None]).max(axis=0)
+        lower = np.maximum(lower * (1 - 1e-9) - 1e-6, 0)
+        sums = float(query @ query) + self.squares
+        return (sums - lower * lower) / 2 + (1 + 1e-9 * sums)
+
+    def inner(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products: as doubles where they fit, else as Python integers."""
+        if self.most * float(np.abs(query).max()) * len(query) < EXACT:
+            return (self.values[places] @ query.astype(np.float64)).astype(np.int64)
+        products = self.rows[places].astype(object) @ query.astype(object)
+        return np.array([min(max(int(p), -(2**63)), 2**63 - 1) for p in products], dtype=np.int64)
+
+    def best(self, own: int, query: np.ndarray, table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best candidates, ties to the smaller id.
+
+        Taken in the order of the bound, in growing chunks: what cannot reach the k-th best
+        score so far is discarded, and the search ends when nothing is left.
+        """
+        upper = self.upper(query.astype(np.float64), table)
+        left = np.flatnonzero(self.ids != own)
+        ids, scores, size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), CHUNK
+        while len(left):
+            if len(left) > size:
+                split = np.argpartition(-upper[left], size)
+                chunk, left = left[split[:size]], left[split[size:]]
+            else:
+                chunk, left = left, left[:0]
+            ids, scores = np.concatenate([ids, self.ids[chunk]]), np.concatenate([scores, self.inner(chunk, query)])
+            if len(scores) > k:
+                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                ids, scores = ids[scores >= least], scores[scores >= least]
+                left = left[upper[left] >= least]
+            size *= 4
+        keep = np.lexsort((ids, -scores))[:k]
+        return ids[keep], scores[keep]
 
 
 def search_blocks(k: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
         for _, part in group.groupby(group["vector"].map(len)):
             mine, others = part[part["is_query"]], part[~part["is_query"]]
             if mine.empty or others.empty:
                 continue
-            rows = np.stack(others["vector"].to_numpy())
-            tables = np.stack(others["distances"].to_numpy())
-            ids = others["id"].to_numpy()
-            norms = np.square(rows.astype(np.float64)).sum(axis=1)
-            for own, query, table in zip(mine["id"], mine["vector"], mine["distances"]):
-                places, scores = best_of_block(np.asarray(query), np.asarray(table), own, ids, rows, tables, norms, k)
-                found.append(pd.DataFrame({"query_id": own, "vec_id": ids[places], "score": scores}))
-        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
-        return pd.concat(found) if found else empty
+            block = Block(others["id"].to_numpy(), np.stack(others["vector"].to_numpy()), np.stack(others["distances"].to_numpy()))
+            for own, query, table in zip(mine["id"].tolist(), mine["vector"], mine["distances"]):
+                found.append((own, *block.best(own, np.asarray(query), np.asarray(table), k)))
+        empty = np.empty(0, dtype=np.int64)
+        return pd.DataFrame({
+            "query_id": np.repeat(np.array([own for own, _, _ in found], dtype=np.int64), np.array([len(ids) for _, ids, _ in found], dtype=np.int64)),
+            "vec_id": np.concatenate([empty, *(ids for _, ids, _ in found)]),
+            "score": np.concatenate([empty, *(scores for _, _, scores in found)]),
+        })
 
     return run
 
