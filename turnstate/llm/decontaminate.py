@@ -251,9 +251,11 @@ def _block_leaks(docs: DataFrame, rows: list) -> DataFrame:
     for r in pieces.collect():
         part = np.frombuffer(r["data"], dtype=np.float32).reshape(-1, start.shape[1])
         sketch[r["piece"] : r["piece"] + len(part)] = part
-    sketch += max(1, total) / len(items) * (own.T @ (own @ start))
+    mass = max(1, total) / len(items)
+    sketch += mass * (own.T @ (own @ start))
     vectors, values = factors(sketch, start.astype(np.float64))
-    space = vectors / values
+    # Directions that the corpus is full of count less; weak ones are not blown up.
+    space = vectors / np.sqrt(values**2 + mass)
     run = search(idf, space, items, answers, [r["item_id"] for r in rows])
     return tokens.mapInPandas(run, LEAK)
 
