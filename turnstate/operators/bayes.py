@@ -95,12 +95,15 @@ class Scoring:
 
 
 def prepare(model: Model, classes: Mapping[str, Sequence[str]] = LABEL_CLASSES) -> Scoring:
-    """Lay a model out for scoring; `classes` lists every label.
+    """Lay a model out for scoring. `classes` gives the order; trained labels it does not list
+    are scored like any other, so the class list comes from the model's few class rows.
 
     A frequent token is a hot join key. Its texts spread over SALTS keys and its one model
     row is repeated for each; no more than FREQUENT tokens can reach the share.
     """
-    names = tuple((f, l) for f, labels in classes.items() for l in labels)
+    listed = [(f, l) for f, labels in classes.items() for l in labels]
+    seen = {(r["field"], r["label"]) for r in model.classes.select("field", "label").distinct().collect()}
+    names = (*listed, *sorted(c for c in seen if None not in c and c not in listed))
     wide = model.tokens.groupBy("token").agg(
         F.sum("cnt").alias("_seen"),
         *[

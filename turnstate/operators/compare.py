@@ -197,12 +197,21 @@ def pairwise_against_baseline(labels: DataFrame, baseline: str) -> DataFrame:
     )
 
 
-def matrix_summary(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("label").agg(
+def matrix_summary(pairs: DataFrame, labels: DataFrame | None = None, baseline: str | None = None) -> DataFrame:
+    """Items and rates per label. With all `labels` given, one that shares no item with the
+    baseline is listed with zeros."""
+    found = pairs.groupBy("label").agg(
         F.count(F.lit(1)).alias("item_count"),
         F.avg("rate").alias("average_rate"),
         F.max("rate").alias("max_rate"),
     )
+    if labels is None:
+        return found
+    every = labels.filter(F.col("label") != F.lit(baseline)).select("label").distinct()
+    zero = {"item_count": F.lit(0).cast("bigint"), "average_rate": F.lit(0.0), "max_rate": F.lit(0.0)}
+    return every.join(found, "label", "left").select(
+        "label", *[F.coalesce(c, z).alias(c) for c, z in zero.items()]
+    )
 
 
 def distinct_runs(runs: DataFrame, baseline: str) -> DataFrame:

@@ -174,13 +174,15 @@ def overlay_violations(overlays: DataFrame) -> DataFrame:
 
 
 def first_errors(turn_rows: DataFrame) -> DataFrame:
-    """First error in turn order of every interaction that has one."""
+    """First error of every interaction that has one: by `stage` where there is one, since a
+    later stage repeats the errors of an earlier one, then in turn order."""
+    order = F.struct(*[c for c in ("stage", "pos") if c in turn_rows.columns], "error")
     return (
         turn_rows.filter(F.col("error").isNotNull())
         .groupBy("interaction_id")
         .agg(
-            F.min_by("error", "pos").alias("error"),
-            F.min("pos").alias("pos"),
+            F.min_by("error", order).alias("error"),
+            F.min_by("pos", order).alias("pos"),
             F.count(F.lit(1)).alias("failed_turns"),
         )
     )

@@ -50,6 +50,8 @@ HEDGING = (0.72, "hedging_signal", "Detected hedging language")
 
 TURN_COLUMNS = (
     "interaction_id", "context_module", "pos", "turn_number", "human_input", "ai_response",
+    # Where the turns have them, labels carry them on to the states.
+    "turn_time", "meta_time", "extensions",
 )
 
 
@@ -125,6 +127,7 @@ def hint_labels(turns: DataFrame, *, hint: str = "hint", keep: Sequence[str] = (
         *turns.columns,
         *[F.col(hint)[f].alias(f) for f in FIELDS],
         F.col(hint)["confidence"].alias("confidence"),
+        *([] if "extensions" in turns.columns else [F.col(hint)["extensions"].alias("extensions")]),
         F.array(_span(excerpt(F.col("human_input"), 160), "fixture_hint_source")).alias(
             "evidence_spans"
         ),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from turnstate.operators.ordered import CHUNK_ROWS, halo
 from turnstate.schemas import CONFIDENCE, FIELDS, SPAN
 
 EARLY_TURNS = 10_000
+SALTS = 32
 # History length, cut of each side, attempts, and prompt wording.
 HISTORY_TURNS = 5
 HISTORY_CHARS = 300
@@ -87,19 +88,20 @@ def repair_prompt(prompt: Column, previous_response: Column) -> Column:
 def fallback_responses(turns: DataFrame, by_key: DataFrame, by_turn: DataFrame, default: str | None) -> DataFrame:
     """Response for (interaction, turn), else for the turn number, else the default.
 
-    Low turn numbers are hot keys (every conversation has a turn 0), so they are looked up
-    in a broadcast of at most EARLY_TURNS rows, and only the later ones are shuffled.
+    Low turn numbers are hot keys (every conversation has a turn 0). Each of the at most
+    EARLY_TURNS fallback rows for them is repeated per salt, so their turns spread over
+    SALTS keys whether Spark broadcasts the rows or shuffles them. A turn without a number
+    takes the default.
     """
     keyed = by_key.select(
         "interaction_id", "turn_number", F.col("response_text").alias("_by_key")
     )
     turned = by_turn.groupBy("turn_number").agg(F.max("response_text").alias("_by_turn"))
-    early = F.col("turn_number").between(0, EARLY_TURNS - 1)
+    salts = F.when(F.col("turn_number").between(0, EARLY_TURNS - 1), SALTS).otherwise(1)
+    salted = turned.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     known = turns.join(keyed, ["interaction_id", "turn_number"], "left")
-    found = (
-        known.filter(early)
-        .join(F.broadcast(turned.filter(early)), "turn_number", "left")
-        .unionByName(known.filter(~early).join(turned.filter(~early), "turn_number", "left"))
+    found = known.withColumn("_salt", F.pmod(F.hash("interaction_id"), salts)).join(
+        salted, ["turn_number", "_salt"], "left"
     )
     return (
         found.withColumn("response_text", F.coalesce("_by_key", "_by_turn", F.lit(default)))
@@ -109,20 +111,27 @@ def fallback_responses(turns: DataFrame, by_key: DataFrame, by_turn: DataFrame,
             .when(F.col("_by_turn").isNotNull(), "turn")
             .otherwise("default"),
         )
-        .drop("_by_key", "_by_turn")
+        .drop("_by_key", "_by_turn", "_salt")
     )
 
 
 def first_valid_attempt(responses: DataFrame, *, attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Per model and turn the first of at most `attempts` responses that passes the rules.
 
-    `attempts` counts from 0. One column per attempt holds its response, so repeated log
-    rows of an attempt cannot make the list of tried responses grow.
+    Attempts are taken in the order of their numbers, wherever the log starts to count; of
+    repeated log rows of one attempt the largest text stands for it. `next_attempt` is the
+    number after the last logged one. One column per attempt holds its response, so the list
+    of tried responses cannot grow beyond `attempts`.
     """
     key = ["model_id", "interaction_id", "turn_number"]
-    checked = normalise(
-        responses.filter(F.col("attempt") < attempts).select(*key, "attempt", "response_text")
+    logged = responses.groupBy(*key, "attempt").agg(F.max("response_text").alias("response_text"))
+    window = Window.partitionBy(*key)
+    ranked = logged.select(
+        *key, "response_text",
+        (F.max("attempt").over(window) + 1).alias("next_attempt"),
+        (F.row_number().over(window.orderBy("attempt")) - 1).alias("attempt"),
     )
+    checked = normalise(ranked.filter(F.col("attempt") < attempts))
     good = F.col("parsed.reason").isNull()
     tried = F.array(
         *[
@@ -136,6 +145,7 @@ def first_valid_attempt(responses: DataFrame, *, attempts: int = MAX_ATTEMPTS) -
             F.min(F.when(good, F.col("attempt"))).alias("attempt"),
             F.min_by("parsed", F.when(good, F.col("attempt"))).alias("parsed"),
             F.max_by("parsed", "attempt")["reason"].alias("last_reason"),
+            F.max("next_attempt").alias("next_attempt"),
             F.filter(tried, lambda t: t["response_text"].isNotNull()).alias("tried"),
         )
         .withColumn("error", F.when(F.col("attempt").isNull(), F.col("last_reason")))
@@ -170,7 +180,7 @@ def repair_worklist(turns_with_prompt: DataFrame, resolved: DataFrame, *, attemp
     """Next prompt for turns whose attempts so far all failed and that may try again."""
     failed = resolved.filter(F.col("error").isNotNull() & (F.size("tried") < attempts)).select(
         "model_id", "interaction_id", "turn_number",
-        F.size("tried").alias("next_attempt"),
+        "next_attempt",
         F.element_at("tried", -1)["response_text"].alias("_last"),
     )
     return turns_with_prompt.join(failed, ["interaction_id", "turn_number"]).select(

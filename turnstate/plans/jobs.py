@@ -35,27 +35,42 @@ class Extraction:
     manifest: DataFrame
 
 
+def _violated(stage: str):
+    return F.when(F.size("violations") > 0, F.concat(F.lit(f"{stage}:"), F.array_join("violations", ",")))
+
+
 def extract(
     interactions: DataFrame, turns: DataFrame, track: Track, *, run_clock: str,
     saved: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Extraction:
-    """Contract check, labels, states, deltas; an interaction with any error yields nothing.
+    """Contract check, labels, states, deltas, each checked; an interaction with any error
+    yields nothing.
 
-    `saved` may write the labels and hand back the written table.
+    The error reported is the first of the earliest stage: input contract, track, state
+    contract, delta, delta contract, continuity. States take the turn's own timestamps where
+    the turns carry them. `saved` may write the labels and hand back the written table.
     """
     checked = contracts.interaction_violations(turns, interactions)
     contract_errors = checked.filter(F.size("violations") > 0).select(
-        "interaction_id", F.lit(-1).alias("pos"),
+        "interaction_id", F.lit(0).alias("stage"), F.lit(-1).alias("pos"),
         F.concat(F.lit("contract:"), F.array_join("violations", ",")).alias("error"),
     )
     labelled = saved(track(turns))
-    state_rows = states.states(labelled, run_clock=run_clock)
+    given = {name: F.col(name) for name in ("meta_time", "turn_time", "extensions") if name in labelled.columns}
+    state_rows = states.states(labelled, run_clock=run_clock, **given)
     delta_rows = states.deltas(state_rows)
-    failing = lambda df: df.filter(F.col("error").isNotNull()).select("interaction_id", "pos", "error")
-    # Deltas of interactions whose labels failed would only repeat that error.
-    errors = contracts.first_errors(
-        contract_errors.unionByName(failing(state_rows)).unionByName(failing(delta_rows))
-    )
+    errors = contract_errors
+    checks = [
+        (state_rows, F.col("error")),
+        (contracts.state_violations(state_rows), _violated("state")),
+        (delta_rows, F.col("error")),
+        (contracts.delta_violations(delta_rows), _violated("delta")),
+        (states.continuity(delta_rows), F.concat(F.lit("trajectory:"), F.col("problem"))),
+    ]
+    for stage, (rows, error) in enumerate(checks, start=1):
+        failing = rows.select("interaction_id", F.lit(stage).alias("stage"), "pos", error.alias("error"))
+        errors = errors.unionByName(failing.filter(F.col("error").isNotNull()))
+    errors = contracts.first_errors(errors)
     kept = lambda df: contracts.all_or_nothing(df, errors)
     # One aggregation over states carries both counts: every state but the first has a delta.
     counts = kept(state_rows).groupBy("interaction_id").agg(F.count(F.lit(1)).alias("state_count"))
@@ -203,10 +218,27 @@ def compare_runs(label_rows: DataFrame, runs: Sequence[str] | None = None) -> Co
 
 def benchmark_matrix(label_rows: DataFrame, *, baseline: str) -> tuple[DataFrame, DataFrame, Comparison]:
     """Pair rates against the baseline, their summary per label, and the ensemble of all
-    labels, computed once per interaction. `label_rows` carry `label` as their run key."""
+    labels, computed once per interaction. `label_rows` carry `label` as their run key.
+
+    Where they also carry `run_dir`, labels that point at one run of an interaction count once
+    in the ensemble, the baseline's name first, and interactions without the baseline are left
+    out of it. An unknown baseline is an error.
+    """
     last = compare.last_per_turn(label_rows).withColumn("label", F.col("run_key"))
+    if not last.filter(F.col("label") == baseline).limit(1).count():
+        raise ValueError(f"baseline {baseline!r} has no labels")
     pairs = compare.pairwise_against_baseline(last, baseline)
-    return pairs, compare.matrix_summary(pairs), compare_runs(label_rows)
+    ensemble = label_rows
+    if "run_dir" in label_rows.columns:
+        runs = label_rows.groupBy("interaction_id", "run_dir").agg(
+            F.min(F.struct((F.col("run_key") != baseline).alias("later"), "run_key")).alias("_run")
+        )
+        based = label_rows.filter(F.col("run_key") == baseline).select("interaction_id").distinct()
+        chosen = runs.select("interaction_id", "run_dir", F.col("_run.run_key").alias("run_key"))
+        ensemble = label_rows.join(chosen, ["interaction_id", "run_dir", "run_key"], "left_semi").join(
+            based, "interaction_id", "left_semi"
+        )
+    return pairs, compare.matrix_summary(pairs, last, baseline), compare_runs(ensemble)
 
 
 @dataclass(frozen=True)

@@ -478,10 +478,11 @@ ORACLE: dict[str, str] = {
       WHERE interaction_id NOT IN (SELECT interaction_id FROM hinted WHERE NOT has_hint)""",
     "extraction_outcome": f"""{BASE}, {INTER}, agg AS (SELECT interaction_id, count(*) AS n FROM turns GROUP BY ALL),
       q AS (SELECT interaction_id, coalesce(n, 0) AS n, concat_ws(',', CASE WHEN context_module = 'travel' THEN 'context_module_unknown' END,
-        CASE WHEN human_id = '' THEN 'human_id_empty' END, CASE WHEN coalesce(n, 0) < 2 THEN 'too_few_turns' END) AS v
-        FROM inter LEFT JOIN agg USING (interaction_id))
-      SELECT interaction_id, CASE WHEN v = '' THEN 'completed' ELSE 'failed' END AS status, CASE WHEN v = '' THEN n ELSE 0 END AS state_count,
-        CASE WHEN v = '' THEN n - 1 ELSE 0 END AS delta_count, CASE WHEN v <> '' THEN 'contract:' || v END AS error FROM q""",
+        CASE WHEN human_id = '' THEN 'human_id_empty' END, CASE WHEN coalesce(n, 0) < 2 THEN 'too_few_turns' END) AS v,
+        coalesce(context_module, 'general') <> 'general' AS bare FROM inter LEFT JOIN agg USING (interaction_id)),
+      e AS (SELECT *, CASE WHEN v <> '' THEN 'contract:' || v WHEN bare THEN 'state:extensions_missing' END AS error FROM q)
+      SELECT interaction_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, CASE WHEN error IS NULL THEN n ELSE 0 END AS state_count,
+        CASE WHEN error IS NULL THEN n - 1 ELSE 0 END AS delta_count, error FROM e""",
     "history_frame": f"""{BASE}, {HISTORY} SELECT interaction_id, turn_number, pos AS context_turn_count,
       coalesce(array_to_string(list_transform(history, lambda x: x.t::VARCHAR), '|'), '') AS history_turns,
       md5(coalesce(array_to_string(list_transform(history, lambda x: x.h || '/' || x.a), '|'), '')) AS history_md5 FROM framed""",

@@ -456,7 +456,7 @@ def response_shape(spark, sf):
             F.when((case == 3) & (i == 0), F.lit(None)).otherwise(F.concat(line, F.lit("!"))).alias("ai_response"),
         ),
     )
-    received = F.when(case == 0, F.slice(rewritten, 2, 1_000_000)).otherwise(rewritten)
+    received = F.when(case == 0, F.slice(rewritten, 2, F.size(rewritten))).otherwise(rewritten)
     rows = docs.select("doc_id", planned.alias("expected"), received.alias("received"))
     return V.response_shape_violations(rows).select("doc_id", _joined("violations").alias("violations"))
 
