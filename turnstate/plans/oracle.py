@@ -671,3 +671,76 @@ ORACLE: dict[str, str] = {
 ORACLE["event_delta_profile"] = f"""SELECT user_id, count(*) AS steps, count(delta) AS defined, round(avg(delta), 9) AS mean_delta
   FROM ({ORACLE['event_deltas']}) GROUP BY ALL"""
 ORACLE["stream_event_deltas"] = ORACLE["event_deltas"]
+
+
+# --- evaluation against the embedded labels
+
+VERSUS = f"""versus AS (SELECT c.run_key, c.interaction_id, c.turn_number, {', '.join(f'c.{f}, t.{f} AS true_{f}' for f in FIELDS)}
+  FROM compared c JOIN compared t USING (interaction_id, turn_number) WHERE t.run_key = 'hints' AND c.run_key <> 'hints')"""
+SAME = {f: f"CASE WHEN {f} IS NOT DISTINCT FROM true_{f} THEN 1 ELSE 0 END" for f in FIELDS}
+SCORES = f"""scores AS (SELECT run_key, count(*) AS turns, {', '.join(f'avg({SAME[f]}) AS a_{f}' for f in FIELDS)} FROM versus GROUP BY ALL)"""
+MEAN = "(" + " + ".join(f"a_{f}" for f in FIELDS) + ") / 4"
+MATRIX = "matrix AS (" + " UNION ALL ".join(
+    f"SELECT run_key, '{f}' AS field, true_{f} AS true_label, {f} AS label, count(*) AS turns FROM versus GROUP BY ALL" for f in FIELDS
+) + ")"
+
+
+def _vote(field: str) -> str:
+    level = f"CASE coalesce(l_{field}, 'medium') WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 END"
+    return f"""v_{field} AS (SELECT interaction_id, turn_number, {field} FROM
+      (SELECT interaction_id, turn_number, {field}, sum({level}) AS w FROM compared GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY interaction_id, turn_number ORDER BY w DESC, {field}) = 1)"""
+
+
+def _distance(field: str) -> str:
+    return f"round(avg(abs(({ordinal(field, field)}) - ({ordinal(field, 'true_' + field)})) / 2.0::DOUBLE), 9) AS distance_{field}"
+
+
+# A state's contract asks for extensions outside the general context; these run in the general one.
+OUTCOME = f"""{{}}, {INTER}, agg AS (SELECT interaction_id, count(*) AS n, {{}} AS wrong FROM {{}} GROUP BY ALL),
+  q AS (SELECT interaction_id, coalesce(n, 0) AS n, coalesce(wrong, 0) AS wrong, concat_ws(',', CASE WHEN human_id = '' THEN 'human_id_empty' END,
+    CASE WHEN coalesce(n, 0) < 2 THEN 'too_few_turns' END) AS v FROM inter LEFT JOIN agg USING (interaction_id)),
+  outcome AS (SELECT *, CASE WHEN v <> '' THEN 'contract:' || v WHEN wrong > 0 THEN 'missing_hint' END AS error FROM q)"""
+
+ORACLE |= {
+    "hint_accuracy": f"""{WITH_CMP}, {VERSUS}, {SCORES} SELECT run_key, turns, {', '.join(f'round(a_{f}, 9) AS accuracy_{f}' for f in FIELDS)},
+      round({MEAN}, 9) AS accuracy FROM scores""",
+    "confusion_matrix": f"{WITH_CMP}, {VERSUS}, {MATRIX} SELECT * FROM matrix",
+    "confusion_kappa": f"""{WITH_CMP}, {VERSUS}, {MATRIX}, r AS (SELECT run_key, field, true_label AS v, sum(turns) AS a FROM matrix GROUP BY ALL),
+      c AS (SELECT run_key, field, label AS v, sum(turns) AS b FROM matrix GROUP BY ALL),
+      e AS (SELECT run_key, field, sum(a::DOUBLE * b) AS chance FROM r JOIN c USING (run_key, field, v) GROUP BY ALL),
+      t AS (SELECT run_key, field, sum(turns) AS n, coalesce(sum(turns) FILTER (WHERE true_label = label), 0) AS same FROM matrix GROUP BY ALL),
+      k AS (SELECT run_key, field, n::BIGINT AS turns, same / n AS observed, coalesce(chance, 0) / n / n AS expected FROM t LEFT JOIN e USING (run_key, field))
+      SELECT run_key, field, turns, round(observed, 9) AS observed, round(expected, 9) AS expected,
+        round(CASE WHEN expected >= 1 THEN 1.0::DOUBLE ELSE (observed - expected) / (1 - expected) END, 9) AS kappa FROM k""",
+    "bootstrap_ci": f"""{WITH_CMP}, {VERSUS}, items_b AS (SELECT run_key, interaction_id, sum({' + '.join(SAME.values())}) AS same, count(*) * 4 AS n
+        FROM versus GROUP BY ALL),
+      drawn AS (SELECT *, {dg(0, 256, "md5('resample:' || b || ':' || interaction_id)")} AS u FROM items_b, (SELECT unnest(range(1, 41)) AS b)),
+      weighed AS (SELECT *, (u >= 94)::INT + (u >= 188)::INT + (u >= 235)::INT + (u >= 251)::INT + (u >= 255)::INT AS w FROM drawn),
+      rates AS (SELECT run_key, b, sum(same * w) / sum(n * w) AS rate FROM weighed GROUP BY ALL HAVING sum(n * w) > 0),
+      ends AS (SELECT run_key, quantile_cont(rate, 0.025) AS low, quantile_cont(rate, 0.975) AS high FROM rates GROUP BY ALL),
+      whole AS (SELECT run_key, sum(same) / sum(n) AS accuracy FROM items_b GROUP BY ALL)
+      SELECT run_key, round(accuracy, 9) AS accuracy, round(low, 9) AS low, round(high, 9) AS high FROM whole LEFT JOIN ends USING (run_key)""",
+    "weighted_vote": f"""{WITH_CMP}, {', '.join(_vote(f) for f in FIELDS)}
+      SELECT * FROM {' JOIN '.join(f'v_{f}' + (' USING (interaction_id, turn_number)' if k else '') for k, f in enumerate(FIELDS))}""",
+    "ordinal_distance": f"{WITH_CMP}, {VERSUS} SELECT run_key, {', '.join(_distance(f) for f in FIELDS)} FROM versus GROUP BY ALL",
+    "model_leaderboard": f"""{WITH_CMP}, {VERSUS}, {SCORES} SELECT run_key, round({MEAN}, 9) AS accuracy,
+      rank() OVER (ORDER BY {MEAN} DESC) AS rank FROM scores""",
+    "stuck_runs": f"""WITH {LOG}, aged AS (SELECT *, datediff('day', substr(updated_at, 1, 10)::DATE, DATE '1998-12-31') AS age_days FROM runs)
+      SELECT run_id, updated_at, age_days FROM aged WHERE status = 'running' AND age_days > 90""",
+    "label_contradictions": f"""{WITH_CMP} SELECT run_key, interaction_id, turn_number, 'judgment_holder=AI,delegation_awareness=Absent' AS contradiction
+      FROM compared WHERE {H} = 'AI' AND {D} = 'Absent'""",
+    "training_rows": f"""{WITH_HINTS}, labelled AS (SELECT * FROM hinted WHERE has_hint), ids AS (SELECT DISTINCT interaction_id FROM labelled),
+      {splits_sql('ids', 'interaction_id', 8)}
+      SELECT interaction_id, turn_number, md5(concat_ws(' ', human_input, ai_response)) AS text_md5, {', '.join(FIELDS)}, split
+      FROM labelled JOIN splits USING (interaction_id)""",
+    "extraction_outcome_hints": OUTCOME.format(WITH_HINTS, "count(*) FILTER (WHERE NOT has_hint)", "hinted") + """
+      SELECT interaction_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, CASE WHEN error IS NULL THEN n ELSE 0 END AS state_count,
+        CASE WHEN error IS NULL THEN n - 1 ELSE 0 END AS delta_count, error FROM outcome""",
+    "extraction_states": OUTCOME.format(WITH_RULES, "0", "turns") + f"""
+      SELECT interaction_id, turn_number, CASE WHEN pos % 2 = 0 THEN '2026-02-01T00:00:' || lpad((pos % 60)::VARCHAR, 2, '0') || 'Z'
+        ELSE '{IN.RUN_CLOCK}' END AS timestamp, {', '.join(FIELDS)} FROM rules JOIN outcome USING (interaction_id) WHERE error IS NULL""",
+    "matrix_all_labels": ORACLE["matrix_vs_baseline"] + " UNION ALL SELECT 'apart', 0, 0.0::DOUBLE, 0.0::DOUBLE",
+    "split_assign_null_keys": f"""WITH o AS (SELECT CASE WHEN o_orderkey % 9 <> 0 THEN 'o-' || o_orderkey ELSE '' END AS id FROM orders),
+      {splits_sql('o', 'id', 8)} SELECT split, count(*) AS item_count FROM splits GROUP BY ALL""",
+}

@@ -17,6 +17,7 @@ from turnstate.operators import bayes as B
 from turnstate.operators import catalog as CAT
 from turnstate.operators import compare as CMP
 from turnstate.operators import contracts as V
+from turnstate.operators import evaluate as EV
 from turnstate.operators import fewshot as FS
 from turnstate.operators import generate as G
 from turnstate.operators import labels as L
@@ -1070,3 +1071,99 @@ def stream_event_deltas(spark, sf):
     running.awaitTermination()
     done = spark.read.parquet(f"{base}/table")
     return done.filter(~F.col("late")).select("user_id", "from_event_id", "to_event_id", "delta")
+
+
+# --- evaluation against the embedded labels
+
+
+@query
+def hint_accuracy(spark, sf):
+    rows = EV.accuracy(_compared(spark, sf), "hints")
+    return _rounded(rows, *[c for c in rows.columns if c.startswith("accuracy")])
+
+
+@query
+def confusion_matrix(spark, sf):
+    return EV.confusion(_compared(spark, sf), "hints")
+
+
+@query
+def confusion_kappa(spark, sf):
+    return _rounded(EV.kappa(EV.confusion(_compared(spark, sf), "hints")), "observed", "expected", "kappa")
+
+
+@query
+def bootstrap_ci(spark, sf):
+    return _rounded(EV.bootstrap(_compared(spark, sf), "hints"), "accuracy", "low", "high")
+
+
+@query
+def weighted_vote(spark, sf):
+    return EV.weighted_vote(_compared(spark, sf))
+
+
+@query
+def ordinal_distance(spark, sf):
+    rows = EV.ordinal_distance(_compared(spark, sf), "hints")
+    return _rounded(rows, *[c for c in rows.columns if c.startswith("distance")])
+
+
+@query
+def model_leaderboard(spark, sf):
+    rows = EV.leaderboard(EV.accuracy(_compared(spark, sf), "hints"))
+    return _rounded(rows.select("run_key", "accuracy", "rank"), "accuracy")
+
+
+@query
+def stuck_runs(spark, sf):
+    rows = EV.stuck_runs(_runs(spark, sf), now="1998-12-31T00:00:00Z", older_than_days=90)
+    return rows.select("run_id", "updated_at", "age_days")
+
+
+@query
+def label_contradictions(spark, sf):
+    return EV.contradictions(_compared(spark, sf)).select("run_key", "interaction_id", "turn_number", "contradiction")
+
+
+@query
+def training_rows(spark, sf):
+    rows = EV.training_rows(_stored_extracts(spark, sf), seed=8)
+    return rows.select("interaction_id", "turn_number", F.md5(F.col("text").cast("binary")).alias("text_md5"), *FIELDS, "split")
+
+
+@query
+def extraction_outcome_hints(spark, sf):
+    """The extraction of the hint track, which has no label for one turn in eight."""
+    turns = IN.hinted_turns(spark, sf).withColumn("context_module", F.lit("general"))
+    people = IN.interactions(spark, sf).withColumn("context_module", F.lit("general"))
+    run = J.extract(people, turns, L.hint_labels, run_clock=IN.RUN_CLOCK)
+    return run.manifest.select("interaction_id", "status", "state_count", "delta_count", "error")
+
+
+@query
+def extraction_states(spark, sf):
+    """States of the rule track with every second turn's own timestamp."""
+    own = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("2026-02-01T00:00:"), F.lpad((F.col("pos") % 60).cast("string"), 2, "0"), F.lit("Z")))
+    turns = IN.turns(spark, sf).withColumn("context_module", F.lit("general")).withColumn("turn_time", own)
+    people = IN.interactions(spark, sf).withColumn("context_module", F.lit("general"))
+    run = J.extract(people, turns, lambda t: L.rule_labels(t, IN.RULE_PHRASES), run_clock=IN.RUN_CLOCK)
+    return run.states.select("interaction_id", "turn_number", "timestamp", *FIELDS)
+
+
+@query
+def matrix_all_labels(spark, sf):
+    """The matrix with a label that shares no item with the baseline."""
+    rows = _matrix_labels(spark, sf)
+    apart = rows.filter(F.col("label") == "model-a").withColumn("label", F.lit("apart")).withColumn(
+        "interaction_id", F.concat(F.lit("x-"), "interaction_id")
+    )
+    rows = rows.unionByName(apart)
+    return _rounded(CMP.matrix_summary(CMP.pairwise_against_baseline(rows, "rules"), rows, "rules"), "average_rate", "max_rate")
+
+
+@query
+def split_assign_null_keys(spark, sf):
+    """Splits of items of which every ninth has no key: counts per split."""
+    key = F.when(F.col("o_orderkey") % 9 != 0, F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")))
+    items = IN.table(spark, sf, "orders").select(key.alias("interaction_id"))
+    return SP.split_counts(SP.assign_splits(items, seed=8))
