@@ -95,3 +95,34 @@ def test_matrix_lists_labels_apart_and_counts_runs_once(spark):
 def test_first_errors_without_stages_follow_the_turns(spark):
     rows = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early")], "interaction_id string, pos int, error string")
     assert [(r["error"], r["pos"]) for r in contracts.first_errors(rows).collect()] == [("early", 1)]
+
+
+def test_a_dataset_is_rerun_in_its_folder_and_published_with_its_turns(spark, tmp_path):
+    import json
+
+    from turnstate.sinks.tables import published
+    from turnstate.sources import documents
+
+    turn = lambda k, text: {"turn_number": k, "human_input": text, "ai_response": "reply {x}"}
+    pack = lambda name: {
+        "pack_id": "p", "scenarios": [
+            {"scenario_id": s, "title": s, "context_module": "general", "slot_options": {"x": ["1", "2"]}, "turn_templates": [turn(0, "start {x}"), turn(1, f"go {{{name if s == 's2' else 'x'}}}")]}
+            for s in ("s1", "s2")
+        ],
+    }
+    path = tmp_path / "pack.json"
+
+    def make(name):
+        path.write_text(json.dumps(pack(name)))
+        return jobs.generate_dataset(
+            documents.read_scenarios(spark, str(path)), dataset_name="n", dataset_id="d", count=3, seed=7,
+            staging=str(tmp_path / "staging"), target_path=str(tmp_path / "pub"),
+        )
+
+    with pytest.raises(RuntimeError, match="accepted=3, target=6"):
+        make("gone")
+    assert {r["scenario_id"] for r in make("x").collect()} == {"s2"}
+    assert make("x").count() == 0
+    found = published(spark, str(tmp_path / "pub"))
+    assert found.count() == 6 and all(len(r["turns"]) == 2 for r in found.collect())
+    assert spark.read.parquet(str(tmp_path / "pub")).count() == 12

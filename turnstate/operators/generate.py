@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstate.functions.text import stable_index
+from turnstate.schemas import CONTEXTS
 
 # Samples made by one task step; more samples of a scenario spread over further tasks.
 BLOCK = 10_000
@@ -33,11 +34,23 @@ def plan_items(scenarios: DataFrame, *, dataset_name: str, count: int, seed: int
     )
 
 
+def is_accepted() -> Column:
+    """Accepted with a payload; an accepted row without one is tried again."""
+    return F.coalesce((F.col("status") == "accepted") & (F.col("item_payload") != ""), F.lit(False))
+
+
+def latest_attempts(log: DataFrame) -> DataFrame:
+    """The last attempt of every item."""
+    rest = [c for c in log.columns if c not in ("item_id", "attempt_count")]
+    order = F.struct("attempt_count", *[c for c in ("status", "item_payload") if c in rest])
+    last = F.max_by(F.struct("attempt_count", *rest), order)
+    return log.groupBy("item_id").agg(last.alias("_last")).select("item_id", "_last.*").select(*log.columns)
+
+
 def pending_items(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """Items not accepted before, with the number of the attempt they are about to make."""
-    done = (F.col("status") == "accepted") & F.coalesce(F.col("item_payload") != "", F.lit(False))
     known = existing.select(
-        "item_id", F.coalesce(done, F.lit(False)).alias("_done"), F.col("attempt_count").alias("_tried")
+        "item_id", is_accepted().alias("_done"), F.col("attempt_count").alias("_tried")
     )
     return (
         plan.join(known, "item_id", "left")
@@ -185,7 +198,8 @@ def generation_items(built: DataFrame, reasons: DataFrame | None = None) -> Data
     incomplete = F.exists(
         "turns", lambda t: t["human_input"].isNull() | t["ai_response"].isNull() | (t["turn_number"] < 0)
     )
-    failure = F.coalesce(F.col("error"), F.when(few, "too_few_turns"), F.when(incomplete, "turn_incomplete"))
+    unknown = ~F.coalesce(F.col("context_module"), F.lit("general")).isin(CONTEXTS)
+    failure = F.coalesce(F.col("error"), F.when(unknown, "context_module_unknown"), F.when(few, "too_few_turns"), F.when(incomplete, "turn_incomplete"))
     rejected = F.coalesce(F.size("reasons"), F.lit(0)) > 0
     attempt = F.col("attempt_count") if "attempt_count" in built.columns else F.lit(1)
     payload = F.to_json(

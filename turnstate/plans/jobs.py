@@ -288,11 +288,20 @@ def generate_dataset(
 ) -> DataFrame:
     """Build the items not accepted yet, log every attempt, publish when complete.
 
+    Attempts go to an append-only log in `staging`, their turns included, so a rerun in the
+    same folder goes on from it; `existing` adds the items of other folders. The latest attempt
+    of an item counts. A complete dataset is published with its turns as a new version.
     `rewrite` may replace the texts of built items; with `gate` the quality reasons reject.
-    Returns the written generation items.
+    Returns the items of this attempt.
     """
+    spark = scenarios.sparkSession
     plan = generate.plan_items(scenarios, dataset_name=dataset_name, count=count, seed=seed)
-    target = plan.count()
+    target = scenarios.count() * count
+    log = f"{staging}/items_log"
+    earlier = tables.read_log(spark, log)
+    if existing is not None:
+        earlier = existing if earlier is None else earlier.unionByName(existing, allowMissingColumns=True)
+    existing = None if earlier is None else generate.latest_attempts(earlier)
     pending = generate.pending_items(plan, existing) if existing is not None else plan
     built = generate.materialise(pending)
     built = rewrite(built) if rewrite else built
@@ -304,15 +313,17 @@ def generate_dataset(
             F.col("t.meta.jsv_hint.judgment_holder").alias("holder"),
         )
         reasons = quality_gate(turns, built)
-    items = tables.write_table(generate.generation_items(built, reasons), f"{staging}/generation_items")
-    accepted = items.filter(F.col("status") == "accepted")
-    if existing is not None:
-        accepted = accepted.unionByName(existing.filter(F.col("status") == "accepted"), allowMissingColumns=True)
-    manifest = assign_splits(accepted, seed=seed + 1, train=train, validation=validation).withColumn(
-        "dataset_id", F.lit(dataset_id)
-    )
+    items = generate.generation_items(built, reasons).join(built.select("item_id", "turns"), "item_id")
+    items = tables.write_table(items, f"{staging}/generation_items")
+    # The log is read again only after this attempt is in it.
+    state = items if existing is None else generate.latest_attempts(items.unionByName(existing, allowMissingColumns=True))
+    state = tables.write_table(state, f"{staging}/state")
+    tables.append_log(items, log)
+    manifest = assign_splits(
+        state.filter(generate.is_accepted()), seed=seed + 1, train=train, validation=validation
+    ).withColumn("dataset_id", F.lit(dataset_id))
     tables.publish_if_complete(
-        scenarios.sparkSession, manifest, staging=f"{staging}/manifest", target_path=target_path, target_count=target
+        spark, manifest, staging=f"{staging}/manifest", target_path=target_path, target_count=target
     )
     return items
 

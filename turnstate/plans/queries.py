@@ -596,7 +596,9 @@ def regression_top_items(spark, sf):
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, in the shared folder of the session."""
-    unset = spark.conf.get(CHECKPOINT_KEY, None) is None
+    # Only a local session may do without the setting: its driver and executors are one machine.
+    unset = spark.conf.get(CHECKPOINT_KEY, None) is None and spark.sparkContext.master.startswith("local")
+    unset = unset and not spark.sparkContext.master.startswith("local-cluster")
     fallback = tempfile.mkdtemp(prefix="turnstate-") if unset else None
     return f"{checkpoint_root(spark, fallback)}/{name}-{os.urandom(6).hex()}"
 

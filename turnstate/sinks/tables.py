@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from turnstate.operators.bayes import Model, Scoring
@@ -30,12 +31,16 @@ def write_documents(df: DataFrame, path: str, *, key: str) -> None:
 
 def write_table(df: DataFrame, path: str, *, partitions: tuple[str, ...] = ()) -> DataFrame:
     """Replace the partitions present in `df` and hand back the stored table."""
-    writer = df.write.mode("overwrite")
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     if partitions:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
     writer.parquet(path)
     # The known schema also serves a table whose partitions are all empty.
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    if seen.get["rows"] and stored.isEmpty():
+        raise RuntimeError(f"{path} was written but cannot be read: is the folder shared by all executors?")
+    return stored
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -43,6 +48,16 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a log so far, or None before its first write."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def replace_children(items: DataFrame, path: str) -> None:
     """Replace all items of the datasets present in `items` and leave other datasets."""
     write_table(items, path, partitions=("dataset_id",))
@@ -74,7 +89,9 @@ def publish_if_complete(
 ) -> int:
     """Write to staging, count there, and publish only a complete dataset.
 
-    Raises when items are missing; the staged items stay for the next attempt.
+    Each publication is a new folder `version=n` beside the earlier ones, so one that fails
+    half way takes nothing away; `published` reads the newest. Raises when items are missing;
+    the staged items stay for the next attempt.
     """
     staged = write_table(items, staging)
     accepted = staged.count()
@@ -82,10 +99,19 @@ def publish_if_complete(
         raise RuntimeError(
             f"dataset generation incomplete: accepted={accepted}, target={target_count}"
         )
-    staged.write.mode("overwrite").parquet(target_path)
+    before = read_log(spark, target_path)
+    newest = None if before is None else before.agg(F.max("version")).first()[0]
+    staged.withColumn("version", F.lit((newest or 0) + 1)).write.mode("append").partitionBy("version").parquet(target_path)
     return accepted
 
 
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest publication."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("version")).first()[0]
+    return rows.filter(F.col("version") == newest).drop("version")
+
+
 def preview(items: DataFrame, turns: DataFrame, *, max_items: int = 6) -> DataFrame:
     """First items in manifest order with their turns nested.
 
