@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,10 +30,12 @@ from turnstate.llm.tables import stored
 WIDTH, STRIDE = 64, 48  # words of a passage, and from one to the next
 ITEMS = 512  # benchmark items of a block
 EXTRA = 32  # dimensions beyond the items
-COSINE = 0.35
+COSINE = 0.42
+COMMON, LEAST = 0.1, 0.5  # terms in more of the passages weigh nothing, if their items keep this share of theirs
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.6
 SHORT = 8  # an item with fewer words must be there word for word
-CHUNK = 4096  # passages projected at once
+BATCH_WORDS = 300_000  # words of documents cut into passages at once
+CHUNK = 64  # passages multiplied at once
 TERM_ROWS, SALTS = 64, 16  # rows of a piece of the sketch, and first-level sums of each piece
 
 LEAK = "key string, item_id long, covered double, answered double, cosine double"
@@ -44,10 +47,23 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def parts(batch: pd.DataFrame) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, word ids of documents) for runs of rows of about BATCH_WORDS words."""
+    first, held, size = 0, [], 0
+    for row, ids in enumerate(batch["ids"]):
+        held.append(ids)
+        size += len(ids)
+        if size >= BATCH_WORDS:
+            yield first, held
+            first, held, size = row + 1, [], 0
+    yield first, held
+
+
 class Passages:
     """Sparse TF rows of the passages of a batch of documents: row, term and count per entry."""
 
-    def __init__(self, documents: list[np.ndarray], terms: int) -> None:
+    def __init__(self, documents: list[np.ndarray], weighty: np.ndarray) -> None:
+        terms = len(weighty)
         sizes = np.fromiter(map(len, documents), dtype=np.int64, count=len(documents))
         windows = np.maximum(1, -(-(sizes - (WIDTH - STRIDE)) // STRIDE))
         self.first = np.cumsum(windows) - windows
@@ -56,7 +72,7 @@ class Passages:
         flat = np.concatenate(documents).astype(np.int64) if len(documents) else np.empty(0, dtype=np.int64)
         owner = np.repeat(np.arange(len(documents)), sizes)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        known = flat >= 0
+        known = np.r_[weighty, False][flat]  # -1, a word of no item, is the last entry
         flat, owner, place = flat[known], owner[known], place[known]
         last = place // STRIDE
         rows, cols = [], []
@@ -70,23 +86,24 @@ class Passages:
     def weighted(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, weight) with rows of length one."""
         weights = (1 + np.log(self.count)) * idf[self.term]
-        kept = weights > 0
-        row, term, weights = self.row[kept], self.term[kept], weights[kept]
-        norms = np.sqrt(np.bincount(row, weights * weights, minlength=len(self.document)))
-        return row, term, (weights / norms[row]).astype(np.float32)
-
+        norms = np.sqrt(np.bincount(self.row, weights * weights, minlength=len(self.document)))
+        return self.row, self.term, (weights / norms[self.row]).astype(np.float32)
 
-def sums_by_row(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of `values` over each run of equal `row`."""
-    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, dtype=np.int64)
-    return row[starts], np.add.reduceat(values, starts, axis=0) if len(row) else values
 
+def blocks_of(row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first passage, terms, weights as a dense matrix over those terms) for CHUNK passages each.
 
-def chunks(row: np.ndarray) -> Iterator[slice]:
-    """Slices of the entries, CHUNK passages each."""
-    if len(row):
-        edges = np.searchsorted(row, np.arange(row[0], row[-1] + CHUNK + 1, CHUNK))
-        yield from (slice(a, b) for a, b in zip(edges, edges[1:]) if b > a)
+    Few passages use few terms, so the matrices are small and multiply at full speed.
+    """
+    if not len(row):
+        return
+    edges = np.searchsorted(row, np.arange(row[0], row[-1] + CHUNK + 1, CHUNK))
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            terms, column = np.unique(term[a:b], return_inverse=True)
+            dense = np.zeros((int(row[b - 1] - row[a]) + 1, len(terms)), dtype=np.float32)
+            dense[row[a:b] - row[a], column] = weight[a:b]
+            yield int(row[a]), terms, dense
 
 
 def weighted_items(items: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
@@ -99,13 +116,23 @@ def weighted_items(items: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     return rows / np.where(norms > 0, norms, 1)
 
 
+def term_weights(counts: np.ndarray, total: int, items: list[np.ndarray]) -> np.ndarray:
+    """Inverse document frequencies; zero for common terms that all their items can spare."""
+    idf = np.log((1 + total) / (1 + counts)) + 1e-6
+    common = counts > COMMON * total
+    for item in items:
+        if np.mean(~common[np.unique(item)]) < LEAST:
+            common[item] = False
+    return np.where(common, 0.0, idf)
+
+
 def document_counts(terms: int) -> Callable:
     """Passages per term; the number of passages goes as term -1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, total = np.zeros(terms, dtype=np.int64), 0
-        for batch in batches:
-            passages = Passages(list(batch["ids"]), terms)
+        for _, documents in (part for batch in batches for part in parts(batch)):
+            passages = Passages(documents, np.ones(terms, dtype=bool))
             found += np.bincount(passages.term, minlength=terms)
             total += len(passages.document)
         used = np.flatnonzero(found)
@@ -119,15 +146,9 @@ def sketches(idf: np.ndarray, start: np.ndarray) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(start.shape, dtype=np.float32)
-        for batch in batches:
-            row, term, weight = Passages(list(batch["ids"]), len(idf)).weighted(idf)
-            for part in chunks(row):
-                r, t, w = row[part], term[part], weight[part, None]
-                rows, projected = sums_by_row(r, w * start[t])
-                back = w * projected[np.searchsorted(rows, r)]
-                order = np.argsort(t, kind="stable")
-                terms, sums = sums_by_row(t[order], back[order])
-                total[terms] += sums
+        for _, documents in (part for batch in batches for part in parts(batch)):
+            for _, terms, dense in blocks_of(*Passages(documents, idf > 0).weighted(idf)):
+                total[terms] += dense.T @ (dense @ start[terms])
         salt = int(np.random.default_rng().integers(SALTS))
         pieces = range(0, len(total), TERM_ROWS)
         yield pd.DataFrame({"piece": list(pieces), "salt": salt, "data": [total[p : p + TERM_ROWS].tobytes() for p in pieces]})
@@ -178,9 +199,11 @@ def contains(region: np.ndarray, item: np.ndarray) -> bool:
 
 def verified(item: np.ndarray, answer: np.ndarray, region: np.ndarray) -> tuple[float, float] | None:
     """(share of the item, share of the answer) in the region if it is a leak."""
-    covered = common_subsequence(item, region) / len(item)
     if len(item) < SHORT:
         return (1.0, 1.0) if contains(region, item) else None
+    if np.isin(item, region).mean() < PARAPHRASED:  # a bound on the subsequence
+        return None
+    covered = common_subsequence(item, region) / len(item)
     if covered < PARAPHRASED:
         return None
     answered = common_subsequence(answer, region) / len(answer) if len(answer) else 0.0
@@ -195,25 +218,29 @@ def search(idf, space, items, answers, item_ids) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            documents = list(batch["ids"])
-            passages = Passages(documents, len(idf))
-            row, term, weight = passages.weighted(idf)
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for part in chunks(row):
-                places, latent = sums_by_row(row[part], weight[part, None] * space[term[part]])
-                size = np.linalg.norm(latent, axis=1, keepdims=True)
-                cosine = (latent / np.where(size > 0, size, 1)) @ rows.T
-                for p, k in zip(*np.nonzero(cosine >= COSINE)):
-                    passage = places[p]
-                    owner, start = int(passages.document[passage]), int(passages.start[passage])
-                    region = documents[owner][max(0, start - len(items[k])) : start + WIDTH + len(items[k])]
-                    leak = verified(items[k], answers[k], np.asarray(region))
-                    if leak:
-                        found = (*leak, float(cosine[p, k]))
-                        best[owner, k] = max(best.get((owner, k), found), found)
             keys = batch["key"].tolist()
-            names = ["key", "item_id", "covered", "answered", "cosine"]
-            yield pd.DataFrame([(keys[owner], item_ids[k], *found) for (owner, k), found in best.items()], columns=names)
+            for first, documents in parts(batch):
+                found = leaks_in(documents)
+                rows_ = [(keys[first + owner], item_ids[k], *shares) for (owner, k), shares in found.items()]
+                yield pd.DataFrame(rows_, columns=["key", "item_id", "covered", "answered", "cosine"])
+
+    def leaks_in(documents: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, float, float]]:
+        """The best shares of each item in each document."""
+        passages = Passages(documents, idf > 0)
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for first, terms, dense in blocks_of(*passages.weighted(idf)):
+            latent = dense @ space[terms]
+            size = np.linalg.norm(latent, axis=1, keepdims=True)
+            cosine = (latent / np.where(size > 0, size, 1)) @ rows.T
+            for p, k in zip(*np.nonzero(cosine >= COSINE)):
+                passage = first + p
+                owner, start = int(passages.document[passage]), int(passages.start[passage])
+                region = documents[owner][max(0, start - len(items[k])) : start + WIDTH + len(items[k])]
+                leak = verified(items[k], answers[k], np.asarray(region))
+                if leak:
+                    found = (*leak, float(cosine[p, k]))
+                    best[owner, k] = max(best.get((owner, k), found), found)
+        return best
 
     return run
 
@@ -231,16 +258,18 @@ def _block_leaks(docs: DataFrame, rows: list) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def ids_of(batch: pd.Series) -> pd.Series:
-        get = known.value.get
-        return pd.Series([np.array([get(w, -1) for w in words_of(t)], dtype=np.int32) for t in batch], dtype=object)
+        get, rows = known.value.get, []
+        for text in batch:
+            words = words_of(text)
+            rows.append(np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words)))
+        return pd.Series(rows, dtype=object)
 
     tokens = docs.select("key", F.pandas_udf(ids_of, "array<int>")("text").alias("ids"))
     tokens = stored(tokens, "benchmark-words")
     counts = tokens.select("ids").mapInPandas(document_counts(terms), "term long, n long")
     found = {r["term"]: r["n"] for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = found.pop(-1, 0)
-    idf = np.log((1 + total) / (1 + np.array([found.get(k, 0) for k in range(terms)])))
-
+    idf = term_weights(np.array([found.get(k, 0) for k in range(terms)]), total, items)
     own = weighted_items(items, idf)
     random = np.random.default_rng(11).standard_normal((terms, min(EXTRA, terms)))
     start = np.linalg.qr(np.c_[own.T, random])[0].astype(np.float32)
