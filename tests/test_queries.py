@@ -8,9 +8,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry_point
+from turnstate.plans.oracle import ORACLE
+from turnstate.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -37,5 +38,11 @@ def test_query_equals_sql(spark, sql, name):
     assert canonical(df.columns, got) == canonical(names, result.fetchall())
 
 
+def test_every_query_is_registered():
+    """The corpus queries, if they are present, come on top and are tested by themselves."""
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLE) == set(QUERIES)
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0

@@ -85,8 +85,8 @@ def missing_fields(model: Model, fields: Sequence[str] = FIELDS) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scoring:
-    """A model laid out for scoring: `weights(token, _salt, _w0, _w1 ...)` with one weight per
-    class, `frequent(token, _salts)`, and `constants(field, label, ...)`, one row per class."""
+    """A model laid out for scoring: `weights(token, _salts, _salt, _w0, _w1 ...)` with one weight
+    per class, `frequent(token, _salts)`, and `constants(field, label, ...)`, one row per class."""
 
     weights: DataFrame
     frequent: DataFrame
@@ -128,13 +128,18 @@ def prepare(model: Model, classes: Mapping[str, Sequence[str]] = LABEL_CLASSES)
         )
     )
     return Scoring(
-        weights.drop("_seen", "_one", "_all", "_salts"),
-        marked.filter(F.col("_salts") > 1).select("token", "_salts"),
+        weights.drop("_seen", "_one", "_all"),
+        frequent(weights),
         constants,
         names,
     )
 
 
+def frequent(weights: DataFrame) -> DataFrame:
+    """The salted tokens, at most FREQUENT."""
+    return weights.filter((F.col("_salts") > 1) & (F.col("_salt") == 0)).select("token", "_salts")
+
+
 def score(
     texts: DataFrame, model: Model | Scoring, *, key: Sequence[str],
     classes: Mapping[str, Sequence[str]] = LABEL_CLASSES,
@@ -154,7 +159,7 @@ def score(
         .join(F.broadcast(ready.frequent), "token", "left")
         .withColumn("_salt", F.pmod(F.hash(*key), F.coalesce("_salts", F.lit(1))))
     )
-    sums = rows.join(ready.weights, ["token", "_salt"], "left").groupBy(*key).agg(
+    sums = rows.join(ready.weights.drop("_salts"), ["token", "_salt"], "left").groupBy(*key).agg(
         F.max("_n").alias("token_count"),
         *[F.coalesce(F.sum(f"_w{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(names))],
     )

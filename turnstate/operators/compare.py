@@ -25,9 +25,15 @@ def last_per_turn(labels: DataFrame) -> DataFrame:
     )
 
 
-def majority(value: Column) -> Column:
-    """Most frequent value; a tie goes to the first in alphabetical order."""
-    return F.mode(value, deterministic=True)
+def majority(values: Column) -> Column:
+    """Most frequent of the non-null values of a short list; a tie goes to the first in
+    alphabetical order."""
+    known = F.array_compact(values)
+    votes = F.transform(
+        F.array_sort(F.array_distinct(known)),
+        lambda v, i: F.struct(F.size(F.filter(known, lambda x: x == v)).alias("n"), (-i).alias("i"), v.alias("v")),
+    )
+    return F.array_max(votes)["v"]
 
 
 def turn_comparisons(labels: DataFrame, runs: Sequence[str] | None = None) -> DataFrame:
@@ -37,16 +43,22 @@ def turn_comparisons(labels: DataFrame, runs: Sequence[str] | None = None) -> Da
     With `runs` given, a missing run is one of that list; otherwise one of the runs that
     label the interaction at all.
     """
-    level = lambda f: F.coalesce(F.col("confidence")[f], F.lit("medium"))
+    levels = F.struct(*[F.coalesce(F.col("confidence")[f], F.lit("medium")).alias(f) for f in FIELDS])
+    entry = F.struct("run_key", F.struct(*FIELDS).alias("values"), levels.alias("levels"))
     rows = labels.groupBy(*TURN_KEY).agg(
         F.count(F.lit(1)).alias("present"),
-        F.array_sort(F.collect_set("run_key")).alias("runs_present"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("run_key", F.struct(*FIELDS))))
-        ).alias("run_values"),
+        F.array_sort(F.collect_list(entry)).alias("_runs"),
         *[(F.min(f) != F.max(f)).cast("int").alias(f"differs_{f}") for f in FIELDS],
-        *[majority(F.col(f)).alias(f"ensemble_{f}") for f in FIELDS],
-        *[majority(level(f)).alias(f"ensemble_confidence_{f}") for f in FIELDS],
+    )
+    each = lambda part, f: F.transform("_runs", lambda r: r[part][f])
+    rows = rows.select(
+        *TURN_KEY,
+        "present",
+        F.array_distinct(F.col("_runs.run_key")).alias("runs_present"),
+        F.map_from_arrays(F.col("_runs.run_key"), F.col("_runs.values")).alias("run_values"),
+        *[f"differs_{f}" for f in FIELDS],
+        *[majority(each("values", f)).alias(f"ensemble_{f}") for f in FIELDS],
+        *[majority(each("levels", f)).alias(f"ensemble_confidence_{f}") for f in FIELDS],
     )
     if runs is not None:
         expected = F.array(*[F.lit(r) for r in runs])
@@ -174,26 +186,29 @@ def threshold_gate(
 def pairwise_against_baseline(labels: DataFrame, baseline: str) -> DataFrame:
     """Rates of each label against the baseline per interaction both completed.
 
-    Label rows carry `label`; the join key is the turn, which no hot interaction makes hot.
+    Label rows carry `label` and are read once: a turn gathers one entry per compared label,
+    the entries meet the baseline's inside the row, and the sums of an interaction gather one
+    entry per label again to see whether the baseline has that interaction at all.
     """
-    others = labels.filter(F.col("label") != baseline)
-    base = labels.filter(F.col("label") == baseline)
-    left = base.select(*TURN_KEY, *[F.col(f).alias(f"base_{f}") for f in FIELDS])
-    both = others.select("label", *TURN_KEY, *FIELDS).join(left, TURN_KEY)
-    rates = both.groupBy("label", "interaction_id").agg(
-        F.count(F.lit(1)).alias("turns_compared"),
-        *[F.avg((F.col(f) != F.col(f"base_{f}")).cast("int")).alias(f"rate_{f}") for f in FIELDS],
-    )
-    items = others.select("label", "interaction_id").distinct().join(
-        base.select("interaction_id").distinct(), "interaction_id", "left_semi"
-    )
-    filled = [F.coalesce(F.col(f"rate_{f}"), F.lit(0.0)).alias(f"rate_{f}") for f in FIELDS]
-    mean = sum((F.coalesce(F.col(f"rate_{f}"), F.lit(0.0)) for f in FIELDS), F.lit(0.0))
-    return items.join(rates, ["label", "interaction_id"], "left").select(
-        "label", "interaction_id",
-        F.coalesce("turns_compared", F.lit(0)).alias("turns_compared"),
-        (mean / len(FIELDS)).alias("rate"),
-        *filled,
+    is_base = F.col("label") == baseline
+    turn = labels.groupBy(*TURN_KEY).agg(
+        F.max(F.when(is_base, F.struct(*FIELDS))).alias("base"), F.collect_list(F.struct("label", *FIELDS)).alias("entries")
+    )
+    entries = turn.select("interaction_id", "base", F.explode("entries").alias("e"))
+    compared = F.col("base").isNotNull()
+    sums = entries.groupBy("interaction_id", "e.label").agg(
+        F.count_if(compared).alias("turns_compared"),
+        *[F.avg(F.when(compared, (F.col("e")[f] != F.col("base")[f]).cast("int"))).alias(f"rate_{f}") for f in FIELDS],
+    )
+    rates = [f"rate_{f}" for f in FIELDS]
+    items = sums.groupBy("interaction_id").agg(
+        F.collect_list(F.struct("label", "turns_compared", *rates)).alias("r"), F.max(is_base).alias("based")
+    )
+    rows = items.filter("based").select("interaction_id", F.explode("r").alias("r")).select("interaction_id", "r.*").filter(~is_base)
+    rows = rows.fillna(0.0, subset=rates)
+    return rows.select(
+        "label", "interaction_id", "turns_compared",
+        (sum((F.col(r) for r in rates), F.lit(0.0)) / len(FIELDS)).alias("rate"), *rates,
     )
 
 

@@ -340,8 +340,9 @@ def observer_job(turns: DataFrame, responses: DataFrame, *, model_id: str) -> tu
 
 def train_bayes(examples: DataFrame, path: str, *, classes: Mapping[str, Sequence[str]] = bayes.LABEL_CLASSES) -> bayes.Scoring:
     """Train, store the model, and store it once more laid out for scoring."""
-    saved = lambda counts: tables.write_table(counts, f"{path}/counts")
-    tables.write_model(bayes.train(examples, list(classes), saved=saved), f"{path}/model")
+    # The counts are the model's token table: they are written once, where it is read from.
+    saved = lambda counts: tables.write_table(counts, f"{path}/model/tokens")
+    tables.write_model(bayes.train(examples, list(classes), saved=saved), f"{path}/model", tokens=False)
     model = read_model(examples.sparkSession, f"{path}/model", fields=list(classes))
     return tables.write_scoring(bayes.prepare(model, classes), f"{path}/scoring")
 

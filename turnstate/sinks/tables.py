@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from turnstate.operators.bayes import Model, Scoring
+from turnstate.operators.bayes import frequent as bayes_frequent
 from turnstate.sources.documents import MODEL_VERSION
 
 
@@ -68,17 +69,20 @@ def write_errors(errors: DataFrame, path: str) -> None:
     errors.write.mode("append").parquet(path)
 
 
-def write_model(model: Model, path: str) -> None:
+def write_model(model: Model, path: str, *, tokens: bool = True) -> None:
+    """The tables of a model; without `tokens`, its token table is there already."""
     write_table(model.classes.withColumn("version", F.lit(MODEL_VERSION)), f"{path}/classes")
-    write_table(model.tokens, f"{path}/tokens")
+    if tokens:
+        write_table(model.tokens, f"{path}/tokens")
     write_table(model.vocabulary, f"{path}/vocabulary")
 
 
 def write_scoring(scoring: Scoring, path: str) -> Scoring:
     """Store the scoring tables and hand back the stored ones, whose sizes Spark knows."""
+    weights = write_table(scoring.weights, f"{path}/weights")
     return Scoring(
-        write_table(scoring.weights, f"{path}/weights"),
-        write_table(scoring.frequent, f"{path}/frequent"),
+        weights,
+        bayes_frequent(weights),
         write_table(scoring.constants, f"{path}/constants"),
         scoring.classes,
     )
