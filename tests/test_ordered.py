@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from turnstate.operators.ordered import adjacent, global_rank, halo
+from turnstate.operators.catalog import run_list_position
+from turnstate.operators.ordered import adjacent, global_rank, halo, split_hot_keys
 from turnstate.sources.chat import turns_from_chat
 
 
@@ -22,7 +23,7 @@ def skewed(spark):
 @pytest.mark.parametrize("max_rows", [10, 37, 10_000])
 def test_adjacent_equals_window(skewed, rows, max_rows):
     got = adjacent(
-        skewed, ["k"], ["at", "tie"], F.col("at"), previous=["tie", "role"], following=["tie"],
+        skewed, ["k"], ["at", "tie"], previous=["tie", "role"], following=["tie"],
         counted=F.col("role") == "user", max_rows=max_rows,
     ).select("k", "tie", "previous.tie", "previous.role", "following.tie", "counted")
     w = Window.partitionBy("k").orderBy("at", "tie")
@@ -75,3 +76,17 @@ def test_turns_from_chat(spark, rows, max_rows):
     )
     got = turns_from_chat(log, max_rows=max_rows)
     assert rows(got) == [(1, 0, 0, "a", "b"), (1, 1, 1, "c", ""), (1, 2, 2, "d", ""), (2, 0, 0, "", "")]
+
+
+@pytest.mark.parametrize("outlier", [10**9, 0])
+def test_hot_keys_are_cut_evenly(spark, outlier):
+    """Neither an outlier nor equal leading values put a hot key into one chunk."""
+    df = spark.range(1000).select(F.lit("k").alias("k"), F.when(F.col("id") == 0, outlier).otherwise(5).alias("at"), F.col("id").alias("tie"))
+    chunks = split_hot_keys(df, ["k"], F.struct("at", "tie"), max_rows=100).groupBy("_chunk").count().collect()
+    assert len(chunks) >= 8 and max(r["count"] for r in chunks) < 300
+
+
+def test_equal_run_clocks_are_ranked_in_chunks(spark, rows):
+    runs = spark.range(300).select(F.lit("2026-01-01T00:00:00Z").alias("updated_at"), F.format_string("r-%03d", "id").alias("run_id"))
+    got = run_list_position(runs)
+    assert rows(got.select("run_id", "position")) == [(f"r-{k:03d}", k + 1) for k in range(300)]

@@ -117,13 +117,12 @@ def run_list_position(selected: DataFrame) -> DataFrame:
     """1-based place of each selected run, newest first, without a one-task sort."""
     day = F.datediff(F.lit("1970-01-01"), F.try_to_date(F.substring("updated_at", 1, 10)))
     tie = [F.col(c) for c in ("catalog_scenario_id", "catalog_blueprint_id") if c in selected.columns]
-    second = F.unix_timestamp(F.try_to_timestamp(F.substring("updated_at", 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    # With every digit taken from nine, newest first is the rising order of the text, so a bucket
+    # can be cut at any row: all runs of a job share one run clock.
+    newest = F.translate("updated_at", "0123456789", "9876543210")
+    order = [newest, F.col("run_id"), *tie]
     return global_rank(
-        selected,
-        F.coalesce(day, F.lit(2**31 - 1)),
-        [F.desc("updated_at"), F.col("run_id"), *tie],
-        position=-F.coalesce(second, F.lit(0)),
-        name="position",
+        selected, F.coalesce(day, F.lit(2**31 - 1)), order, position=F.struct(*order), name="position"
     )
 
 

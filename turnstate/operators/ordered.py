@@ -7,8 +7,8 @@ it. Two forms:
 * `halo` for rows that carry a dense position (0, 1, 2 ...): the last rows of a chunk are
   copied into the next one. One shuffle, no statistics.
 * `adjacent` for rows with any order: keys above `max_rows` rows are found by a count and
-  cut by value range; one summary row per chunk brings its edge values. With no hot key
-  the adaptive planner removes the summary branch.
+  cut at quantiles of that order; one summary row per chunk brings its edge values. With no
+  hot key the adaptive planner removes the extra branches.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 # At most N / HOT_ROWS keys can be hot in N rows, which bounds both broadcast tables below.
 HOT_ROWS = 4_000_000
+# Sampled rows of a hot key per chunk.
+SAMPLES = 64
 # Rows per chunk of a dense sequence.
 CHUNK_ROWS = 1_000_000
 
@@ -43,27 +45,31 @@ def halo(
 
 
 def split_hot_keys(
-    df: DataFrame, keys: Sequence[str], position: Column, *, max_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Column, *, max_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add `_chunk` (0 for ordinary keys) and `_hot`; chunks follow the order of `position`."""
-    sizes = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(position).cast("double").alias("_lo"),
-            F.max(position).cast("double").alias("_hi"),
-        )
-        .filter(F.col("_n") > max_rows)
+    """Add `_chunk` (0 for ordinary keys) and `_hot`; chunks follow `order`, a value or a struct.
+
+    A hot key is cut at quantiles of the order itself, ties included, taken from about SAMPLES
+    rows per chunk. Outliers and equal leading values so leave the chunks of one size.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    hot = sizes.select(*keys, "_n", F.ceil(F.col("_n") / max_rows).alias("_parts"))
+    step = F.greatest(F.floor(F.col("_n") / (F.col("_parts") * SAMPLES)), F.lit(1))
+    sample = df.select(*keys, order.alias("_order")).join(F.broadcast(hot), list(keys))
+    sample = sample.filter(F.pmod(F.xxhash64("_order"), step) == 0)
+    # About SAMPLES entries per chunk, and at most N / HOT_ROWS chunks in all.
+    sorted_ = sample.groupBy(*keys).agg(F.array_sort(F.collect_list("_order")).alias("_s"), F.max("_parts").alias("_parts"))
+    picked = F.transform(
+        F.sequence(F.lit(1).cast("bigint"), F.col("_parts") - 1),
+        lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_parts")).cast("int")),
     )
-    hot = sizes.select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / max_rows).alias("_parts"))
-    span = F.col("_hi") - F.col("_lo")
-    part = F.floor((position.cast("double") - F.col("_lo")) / F.nullif(span, F.lit(0.0)) * F.col("_parts"))
-    chunk = F.least(F.coalesce(part, F.lit(0)), F.col("_parts") - 1).cast("int")
+    cuts = sorted_.select(*keys, picked.alias("_cuts"))
+    chunk = F.size(F.filter("_cuts", lambda cut: cut <= order))
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_chunk", F.when(F.col("_parts").isNull(), 0).otherwise(chunk))
-        .withColumn("_hot", F.col("_parts").isNotNull())
-        .drop("_lo", "_hi", "_parts")
+        df.join(F.broadcast(cuts), list(keys), "left")
+        .withColumn("_hot", F.col("_cuts").isNotNull())
+        .withColumn("_chunk", F.when(F.col("_hot"), chunk).otherwise(0))
+        .drop("_cuts")
     )
 
 
@@ -71,7 +77,6 @@ def adjacent(
     df: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str],
-    position: Column,
     *,
     previous: Sequence[str] = (),
     following: Sequence[str] = (),
@@ -80,8 +85,8 @@ def adjacent(
 ) -> DataFrame:
     """Add `previous` / `following` structs of the neighbour rows of the same key, and
     `counted`, the running number of rows (this one included) for which that column holds."""
-    chunked = split_hot_keys(df, keys, position, max_rows=max_rows)
     order = F.struct(*order_by)
+    chunked = split_hot_keys(df, keys, order, max_rows=max_rows)
     edges = []
     if previous:
         edges.append(F.max_by(F.struct(*previous), order).alias("_tail"))
@@ -120,8 +125,8 @@ def global_rank(
     """1-based rank over the whole table without gathering it in one task.
 
     `bucket` must rise with the order and take a bounded number of values; only one count
-    per bucket is brought together. Where a bucket can be hot, `position` (a number that
-    rises with the order) cuts it further.
+    per bucket is brought together. Where a bucket can be hot, `position` (a value or struct
+    that rises with the order) cuts it further. A null bucket is a bucket of its own.
     """
     rows = df.withColumn("_bucket", bucket)
     if position is None:
@@ -135,7 +140,10 @@ def global_rank(
     )
     inside = Window.partitionBy("_bucket", "_chunk").orderBy(*order_by)
     return (
-        rows.join(F.broadcast(offsets), ["_bucket", "_chunk"])
+        rows.join(
+            F.broadcast(offsets.withColumnsRenamed({"_bucket": "_b", "_chunk": "_c"})),
+            F.col("_bucket").eqNullSafe(F.col("_b")) & (F.col("_chunk") == F.col("_c")),
+        )
         .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
         .select(*df.columns, name)
     )

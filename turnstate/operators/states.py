@@ -105,12 +105,12 @@ def deltas(
 
 
 def ordinal_steps(
-    rows: DataFrame, key: str, order_by: Sequence[str], position: Column, value: str,
+    rows: DataFrame, key: str, order_by: Sequence[str], value: str,
     ordered: Sequence[str], *, max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The same step over any keyed sequence of one categorical column."""
     seen = adjacent(
-        rows.select(key, *order_by, value), [key], order_by, position,
+        rows.select(key, *order_by, value), [key], order_by,
         previous=[*order_by, value], max_rows=max_rows,
     ).filter(F.col("previous").isNotNull())
     return seen.select(

@@ -157,9 +157,8 @@ def delta_profile(spark, sf):
 @query
 def event_deltas(spark, sf):
     events = IN.table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
     return S.ordinal_steps(
-        events, "user_id", ["ts", "event_id"], seconds, "event_type", EVENT_SCALE
+        events, "user_id", ["ts", "event_id"], "event_type", EVENT_SCALE
     ).select("user_id", "from_event_id", "to_event_id", "delta")
 
 
@@ -192,7 +191,7 @@ def _redense(vectors: DataFrame) -> DataFrame:
     from turnstate.operators.ordered import adjacent
 
     rows = adjacent(
-        vectors.withColumnRenamed("pos", "_at"), ["interaction_id"], ["_at"], F.col("_at"),
+        vectors.withColumnRenamed("pos", "_at"), ["interaction_id"], ["_at"],
         counted=F.lit(True),
     )
     return rows.withColumn("pos", F.col("counted").cast("int")).drop("_at", "counted")

@@ -25,7 +25,6 @@ def turns_from_chat(
         log.select(key, order, role, text),
         [key],
         [order],
-        F.col(order),
         following=[role, text],
         counted=F.col(role) == "user",
         max_rows=max_rows,
