@@ -126,3 +126,29 @@ def test_a_dataset_is_rerun_in_its_folder_and_published_with_its_turns(spark, tm
     found = published(spark, str(tmp_path / "pub"))
     assert found.count() == 6 and all(len(r["turns"]) == 2 for r in found.collect())
     assert spark.read.parquet(str(tmp_path / "pub")).count() == 12
+
+
+def test_a_resumed_run_is_whole(spark):
+    from turnstate.operators.labels import rule_labels
+
+    turns = lambda reply: spark.createDataFrame(
+        [("a", "general", k, k, "compare options", reply if k == 1 else "r") for k in range(3)],
+        "interaction_id string, context_module string, pos int, turn_number int, human_input string, ai_response string",
+    )
+    stored = rule_labels(turns("old")).withColumn("observer_notes", F.lit("stored")).withColumn("seq", F.lit(0))
+    rows = jobs.resume_run(turns("new"), stored, rule_labels).collect()
+    assert sorted((r["pos"], r["ai_response"], r["observer_notes"] == "stored") for r in rows) == [(0, "r", True), (1, "new", False), (2, "r", True)]
+
+
+def test_targets_choose_from_their_own_pack(spark):
+    from turnstate.operators.fewshot import select_examples
+
+    examples = spark.createDataFrame(
+        [(p, s, f"{p}{s}", 0, "general", h) for p in ("p", "q") for s, h in enumerate(["AI", "Human", "Shared"])],
+        "pack_id string, seq int, interaction_id string, turn_number int, context_module string, holder string",
+    ).withColumn("hint", F.struct(F.col("holder").alias("judgment_holder"))).drop("holder")
+    targets = spark.createDataFrame([("t", "general", "p"), ("q0", "general", "q"), ("u", "general", "none")], "interaction_id string, context_module string, pack_id string")
+    found = {r["interaction_id"]: [e["interaction_id"] for e in r["examples"]] for r in select_examples(targets, examples, max_examples=2).collect()}
+    assert found == {"t": ["p0", "p1"], "q0": ["q1", "q2"], "u": []}
+    either = select_examples(targets.drop("pack_id"), examples, max_examples=2).collect()
+    assert [e["interaction_id"] for r in either if r["interaction_id"] == "t" for e in r["examples"]] == ["p0", "p1"]

@@ -34,9 +34,9 @@ def example_pack(extracts: DataFrame, *, max_examples: int | None = 8) -> DataFr
     )
 
 
-def _round_robin(examples: DataFrame, target: list[str], n: int) -> DataFrame:
+def _round_robin(examples: DataFrame, target: list[str], n: int, order: list[str]) -> DataFrame:
     """First n per target: one example of each bucket per round, buckets alphabetical."""
-    in_bucket = Window.partitionBy(*target, "_bucket").orderBy("seq")
+    in_bucket = Window.partitionBy(*target, "_bucket").orderBy(*order)
     over_rounds = Window.partitionBy(*target).orderBy("_round", "_bucket")
     return (
         examples.withColumn("_round", F.row_number().over(in_bucket))
@@ -55,12 +55,18 @@ def select_examples(targets: DataFrame, examples: DataFrame, *, max_examples: in
     those: enough for every target whichever interaction it excludes. Leaving out rows that
     were not chosen changes nothing, so only interactions inside the choice of their
     context (at most `max_examples` per context) need a choice of their own. Contexts and
-    holders are enumerated values, which bounds both broadcast tables.
+    holders are enumerated values; with packs there are as many lists as packs and contexts, so
+    how the lists reach the targets is left to Spark's size check.
+
+    Targets with a `pack_id` choose from that pack only; others from all examples, and equal
+    `seq` values of several packs are told apart by pack, interaction and turn.
     """
     n = max_examples
+    group = ["pack_id", "context_module"] if "pack_id" in targets.columns else ["context_module"]
+    order = ["seq", *[c for c in ("pack_id", "interaction_id", "turn_number") if c in examples.columns]]
     ranked = examples.withColumn("_bucket", F.coalesce(F.col("hint.judgment_holder"), F.lit("Unknown")))
-    own = Window.partitionBy("context_module", "_bucket", "interaction_id").orderBy("seq")
-    pooled = Window.partitionBy("context_module", "_bucket").orderBy("seq")
+    own = Window.partitionBy(*group, "_bucket", "interaction_id").orderBy(*order)
+    pooled = Window.partitionBy(*group, "_bucket").orderBy(*order)
     pool = (
         ranked.withColumn("_own", F.row_number().over(own))
         .filter(F.col("_own") <= n)
@@ -68,31 +74,31 @@ def select_examples(targets: DataFrame, examples: DataFrame, *, max_examples: in
         .filter(F.col("_pool") <= 2 * n)
         .drop("_own", "_pool")
     )
-    chosen = _round_robin(pool, ["context_module"], n)
+    chosen = _round_robin(pool, group, n, order)
     example = F.struct("rank", *[c for c in EXAMPLE_COLUMNS if c in examples.columns])
     listed = F.array_sort(F.collect_list(example))
-    common = chosen.groupBy("context_module").agg(listed.alias("_common"))
+    common = chosen.groupBy(*group).agg(listed.alias("_common"))
 
-    special = chosen.select("context_module", F.col("interaction_id").alias("_target")).distinct()
-    others = pool.join(F.broadcast(special), "context_module").filter(
+    special = chosen.select(*group, F.col("interaction_id").alias("_target")).distinct()
+    others = pool.join(special, group).filter(
         F.col("interaction_id") != F.col("_target")
     )
     own_lists = (
-        _round_robin(others, ["context_module", "_target"], n)
-        .groupBy("context_module", "_target")
+        _round_robin(others, [*group, "_target"], n, order)
+        .groupBy(*group, "_target")
         .agg(listed.alias("_listed"))
     )
     # A special target without any other example keeps an empty list of its own.
-    excluded = special.join(own_lists, ["context_module", "_target"], "left").select(
-        "context_module", F.col("_target").alias("interaction_id"),
+    excluded = special.join(own_lists, [*group, "_target"], "left").select(
+        *group, F.col("_target").alias("interaction_id"),
         F.coalesce("_listed", F.array().cast(_type_of(own_lists, "_listed"))).alias("_excluded"),
     )
     found = F.coalesce(
         "_excluded", "_common", F.array().cast(_type_of(own_lists, "_listed"))
     )
     return (
-        targets.join(F.broadcast(excluded), ["context_module", "interaction_id"], "left")
-        .join(F.broadcast(common), "context_module", "left")
+        targets.join(excluded, [*group, "interaction_id"], "left")
+        .join(common, group, "left")
         .withColumn("examples", found)
         .withColumn("example_count", F.size("examples"))
         .withColumn("zero_shot_fallback", F.size("examples") == 0)

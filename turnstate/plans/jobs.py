@@ -353,6 +353,20 @@ def resume_extraction(turns: DataFrame, stored: DataFrame, track: Track) -> tupl
     return track(marked.filter(~F.col("reusable")).drop("reusable")), marked
 
 
+def resume_run(turns: DataFrame, stored: DataFrame, track: Track) -> DataFrame:
+    """The labels of the whole run: stored ones where the texts are unchanged, new ones elsewhere.
+
+    `stored` has the label columns of the track besides the texts and `seq`; of several stored
+    rows of a turn the last one counts.
+    """
+    fresh, marked = resume_extraction(turns, stored, track)
+    key = ["interaction_id", "turn_number"]
+    rest = [c for c in fresh.columns if c not in key]
+    last = stored.groupBy(*key).agg(F.max_by(F.struct(*rest), "seq").alias("_last"))
+    kept = last.join(marked.filter("reusable").select(*key), key, "left_semi").select(*key, "_last.*")
+    return fresh.unionByName(kept.select(*fresh.columns))
+
+
 def regression_report(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Overall figures, the fields and the items with the highest rates."""
     summary = compare.benchmark_summary(items)
