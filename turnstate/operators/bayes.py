@@ -23,6 +23,9 @@ LABEL_CLASSES = {f: allowed_values(f) for f in FIELDS}
 DIGITS = 9
 # Tokens with at least 1/FREQUENT of all training tokens are joined through SALTS keys.
 FREQUENT = 200
+# Span categories, certainty, note and names of the label track.
+SPAN_CATEGORIES = ("cheap_ml_tokens", "cheap_ml_excerpt")
+TRACK_FACTS = (0.55, "Naive Bayes prediction from few-shot pack", "cheap_ml_baseline", "cheap-ml-v1")
 SALTS = 32
 
 
@@ -206,10 +209,10 @@ def bayes_labels(turns: DataFrame, model: Model | Scoring, *, model_id: str = "n
     none = F.lit(None).cast("string").alias("note")
     evidence = F.when(
         F.size(words) > 0,
-        F.struct(F.array_join(words, " ").alias("text"), F.lit("cheap_ml_tokens").alias("category"), none),
+        F.struct(F.array_join(words, " ").alias("text"), F.lit(SPAN_CATEGORIES[0]).alias("category"), none),
     ).otherwise(
         F.struct(
-            excerpt(F.col("human_input"), 160).alias("text"), F.lit("cheap_ml_excerpt").alias("category"), none
+            excerpt(F.col("human_input"), 160).alias("text"), F.lit(SPAN_CATEGORIES[1]).alias("category"), none
         )
     )
     df = turns.join(wide, key).select(
@@ -217,8 +220,8 @@ def bayes_labels(turns: DataFrame, model: Model | Scoring, *, model_id: str = "n
         *FIELDS,
         F.struct(*[F.col(f"_level_{f}").alias(f) for f in FIELDS]).alias("confidence"),
         F.array(evidence).alias("evidence_spans"),
-        F.lit(0.55).alias("observer_confidence"),
-        F.lit("Naive Bayes prediction from few-shot pack").alias("observer_notes"),
+        F.lit(TRACK_FACTS[0]).alias("observer_confidence"),
+        F.lit(TRACK_FACTS[1]).alias("observer_notes"),
         F.lit(None).cast(T.StringType()).alias("error"),
     )
-    return _finish(df, "cheap_ml_baseline", model_id, "cheap-ml-v1")
+    return _finish(df, TRACK_FACTS[2], model_id, TRACK_FACTS[3])

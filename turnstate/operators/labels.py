@@ -46,6 +46,8 @@ RULE_OUTCOMES = [
 ]
 RULE_DEFAULT = (("Undefined", "Absent", "Passive", "None"), 0.68, "default_excerpt",
                 "Default baseline assignment")
+# Certainty, span category and note of the hint track.
+HINT_FACTS = (1.0, "fixture_hint_source", "Canonical fixture hint")
 HEDGING = (0.72, "hedging_signal", "Detected hedging language")
 
 TURN_COLUMNS = (
@@ -128,11 +130,11 @@ def hint_labels(turns: DataFrame, *, hint: str = "hint", keep: Sequence[str] = (
         *[F.col(hint)[f].alias(f) for f in FIELDS],
         F.col(hint)["confidence"].alias("confidence"),
         *([] if "extensions" in turns.columns else [F.col(hint)["extensions"].alias("extensions")]),
-        F.array(_span(excerpt(F.col("human_input"), 160), "fixture_hint_source")).alias(
+        F.array(_span(excerpt(F.col("human_input"), 160), HINT_FACTS[1])).alias(
             "evidence_spans"
         ),
-        F.lit(1.0).alias("observer_confidence"),
-        F.lit("Canonical fixture hint").alias("observer_notes"),
+        F.lit(HINT_FACTS[0]).alias("observer_confidence"),
+        F.lit(HINT_FACTS[2]).alias("observer_notes"),
         F.when(F.col(hint).isNull(), "missing_hint").alias("error"),
     )
     return _finish(df, "fixture_hint", "fixture", "fixture-v1", keep)

@@ -58,26 +58,32 @@ def with_history(
     )
 
 
+# The labels of the prompt's lines.
+PROMPT_LABELS = {
+    "interaction": "interaction_id: ", "context": "\ncontext_module: ", "turn": "\nturn_number: ",
+    "history": "conversation_history:\n", "past_human": "] Human: ", "past_ai": "] AI: ", "past": "[turn ",
+    "human": "current_turn_human: ", "ai": "\ncurrent_turn_ai: ",
+}
+
+
 def observer_prompt() -> Column:
     """Prompt of one turn from its columns and `history`."""
+    mark = {name: F.lit(text) for name, text in PROMPT_LABELS.items()}
+    number = lambda t: t["turn_number"].cast("string")
     lines = F.transform(
         "history",
         lambda t: F.concat(
-            F.lit("[turn "), t["turn_number"].cast("string"), F.lit("] Human: "), t["human_input"],
-            F.lit("\n[turn "), t["turn_number"].cast("string"), F.lit("] AI: "), t["ai_response"],
+            mark["past"], number(t), mark["past_human"], t["human_input"], F.lit("\n"),
+            mark["past"], number(t), mark["past_ai"], t["ai_response"],
         ),
     )
     block = F.when(
-        F.size("history") > 0,
-        F.concat(F.lit("conversation_history:\n"), F.array_join(lines, "\n"), F.lit("\n\n")),
+        F.size("history") > 0, F.concat(mark["history"], F.array_join(lines, "\n"), F.lit("\n\n"))
     ).otherwise("")
     return F.concat(
-        F.lit("interaction_id: "), F.col("interaction_id"),
-        F.lit("\ncontext_module: "), F.col("context_module"),
-        F.lit("\nturn_number: "), F.col("turn_number").cast("string"), F.lit("\n\n"),
-        block,
-        F.lit("current_turn_human: "), F.col("human_input"),
-        F.lit("\ncurrent_turn_ai: "), F.col("ai_response"), F.lit("\n"),
+        mark["interaction"], F.col("interaction_id"), mark["context"], F.col("context_module"),
+        mark["turn"], F.col("turn_number").cast("string"), F.lit("\n\n"), block,
+        mark["human"], F.col("human_input"), mark["ai"], F.col("ai_response"), F.lit("\n"),
     )
 
 
