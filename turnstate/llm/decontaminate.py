@@ -41,6 +41,10 @@ TERM_ROWS, SALTS = 64, 16  # rows of a piece of the sketch, and first-level sums
 LEAK = "key string, item_id long, covered double, answered double, cosine double"
 
 WORD = re.compile(r"[^\W_]+")
+# Where every character that is not ASCII is a letter or digit below U+0250, splitting bytes
+# gives the same words in less than half the time.
+ODD = re.compile("[" + "".join(chr(c) for c in range(0x80, 0x250) if not WORD.match(chr(c))) + "\u0250-\U0010ffff]")
+SEPARATED = bytes(b if b >= 0x80 or WORD.match(chr(b)) else 0x20 for b in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -258,9 +262,14 @@ def _block_leaks(docs: DataFrame, rows: list) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def ids_of(batch: pd.Series) -> pd.Series:
-        get, rows = known.value.get, []
+        by_text, rows = known.value, []
+        by_bytes = {word.encode("utf-8"): k for word, k in by_text.items()}
         for text in batch:
-            words = words_of(text)
+            lower = (text or "").lower()
+            if ODD.search(lower):
+                words, get = WORD.findall(lower), by_text.get
+            else:
+                words, get = lower.encode("utf-8").translate(SEPARATED).split(), by_bytes.get
             rows.append(np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words)))
         return pd.Series(rows, dtype=object)
 

@@ -85,7 +85,7 @@ class Scanner:
             "access": re.compile(ACCESS),
             "hex": re.compile(HEX),
             "crc": re.compile(rb"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-            "xprv": re.compile(rb"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![A-Za-z0-9])"),
+            "xprv": re.compile(rb"xprv[1-9A-HJ-NP-Za-km-z]{%d}(?![A-Za-z0-9])" % (XPRV_LENGTH - len(XPRV_PREFIX))),
         }
 
     def kept(self, kind: str, match: re.Match[bytes]) -> bool:
