@@ -14,7 +14,7 @@ block gives at most one link per member: links that join what is joined already
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,10 +33,8 @@ DEAL = 3  # pivots used for that
 
 # Near-duplicates by shingle sets: 5 words, similarity 0.8.
 WORDS, SIMILARITY = 5, 0.8
-WIDE = 18  # bits by which fingerprints of such texts differ at most
-BANDS, ROWS = 9, 3  # minimum hashes: a pair of similarity 0.8 shares a band with chance 0.998
-SKETCH = 512  # smallest shingle hashes that are kept: all of them for most texts
-CROWD = 4096  # members of a block from which it is dealt out by pivots
+SAMPLED, COMMON = 16, 100_000  # one text of so many is searched for common shingles, and how many are listed
+TILE = 128  # members of a part of a block; a list holds two parts at most
 
 
 # --- fingerprints
@@ -105,8 +103,8 @@ def pivot_cells(bits: Column, radius: int = RADIUS) -> Column:
 # --- links inside blocks
 
 
-def links_in_block(prints: np.ndarray, pivots: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Spanning links among fingerprints: indices of a pair within the radius, and `alike` if given.
+def links_in_block(prints: np.ndarray, pivots: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning links among fingerprints: indices of a pair within the radius.
 
     Grown from one member after another: what is reached is compared with what is not yet
     reached only, so a block full of near copies costs about its size.
@@ -124,8 +122,6 @@ def links_in_block(prints: np.ndarray, pivots: np.ndarray, radius: int, alike: C
                 if not len(near):
                     break
             near = near[np.bitwise_count(prints[near] ^ prints[at]) <= radius]
-            if alike is not None:
-                near = near[[alike(at, int(x)) for x in near]] if len(near) else near
             if len(near):
                 found += [(at, int(x)) for x in near]
                 frontier += near.tolist()
@@ -225,81 +221,135 @@ def groups(docs: DataFrame, words: int = 3, radius: int = RADIUS, key: str = "do
 # --- near-duplicates by similarity of shingle sets
 
 
-def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """The smallest different shingle hashes, as 32-bit numbers in order."""
-    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+def shingle_sets(words: int):
+    """A Pandas UDF: text to its different shingle hashes; texts without words share one of their own."""
+    none = np.array([xxhash.xxh64_intdigest(b"", SEED)], dtype=np.uint64)
 
+    def run(texts: pd.Series) -> pd.Series:
+        sets = (np.unique(shingle_hashes(text, words)) for text in texts)
+        return pd.Series([(s if len(s) else none).view(np.int64) for s in sets], dtype=object)
+
+    return F.pandas_udf(run, "array<long>")
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and ranks of shingles that recur in a sample of (name, shingles).
+
+    They only set the order in which shingles are taken; no order changes the pairs that are found.
+    """
+    sample = texts.filter(F.pmod(F.xxhash64("name"), F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("shingle"))
+    counts = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    hashes = np.array([r["shingle"] for r in found], dtype=np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], np.arange(len(found), 0, -1)[order]
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two shingle sets: exact if both sketches are whole, else from the smallest
-    hashes of the union (standard error at 0.8: 0.018). Texts without words are alike."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.intersect1d(a, b, assume_unique=True)
-    if len(a) < SKETCH and len(b) < SKETCH:
-        return len(both) / (len(a) + len(b) - len(both))
-    least = np.union1d(a, b)[:SKETCH]
-    return float((both <= least[-1]).sum() / len(least))
 
+def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(name, n, pos, shingle): the shingles of each text of which similar texts share at least one.
+
+    In any one order of all shingles, sets of n and m with this similarity share one of the first
+    n - ceil(similarity n) + 1 and m - ceil(similarity m) + 1. Common shingles come last.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(common)
 
-def band_values(hashes: np.ndarray) -> list[int]:
-    """BANDS hashes over ROWS minimum hashes each; zeros for a text without words."""
-    draw = np.random.default_rng(13).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
-    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
-    for part in np.array_split(hashes, len(hashes) // 2048 + 1):
-        if len(part):
-            least = np.minimum(least, (part[:, None] * (draw[0] | np.uint64(1)) + draw[1]).min(axis=0))
-    if not len(hashes):
-        return [0] * BANDS
-    return [xxhash.xxh64_intdigest(row.tobytes(), SEED) - 2**63 for row in least.reshape(BANDS, ROWS)]
+    def run(sets: pd.Series) -> pd.Series:
+        hashes, ranks = held.value
+        found = []
+        for own in sets:
+            own = np.sort(np.asarray(own, dtype=np.int64))
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                own = own[np.argsort(np.where(hashes[at] == own, ranks[at], 0), kind="stable")]
+            found.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
+        return pd.Series(found, dtype=object)
 
+    first = F.pandas_udf(run, "array<long>")("shingles")
+    return texts.select("name", F.size("shingles").alias("n"), F.posexplode(first).alias("pos", "shingle"))
 
-def signatures(words: int):
-    """A Pandas UDF: text to (bits, bands, sketch)."""
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            hashes = shingle_hashes(text, words)
-            bits = np.array([fingerprint(hashes)], dtype=np.uint64).view(np.int64)[0]
-            rows.append((bits, band_values(hashes), sketch_of(hashes).tobytes()))
-        return pd.DataFrame(rows, columns=["bits", "bands", "sketch"])
+def can_reach(n, pos, m, at, similarity: float):
+    """Whether sets of n and m whose first shared shingle is at these places can be similar."""
+    needed = (n + m) * (similarity / (1 + similarity)) - 1e-6
+    return (n - pos >= needed) & (m - at >= needed)
 
-    return F.pandas_udf(run, "bits long, bands array<long>, sketch binary")
 
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have at least this similarity."""
+    left = texts.select(F.col("name").alias("a"), F.col("shingles").alias("s"))
+    right = texts.select(F.col("name").alias("b"), F.col("shingles").alias("t"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("s", "t")))
+    return both.filter(F.col("same") / (F.size("s") + F.size("t") - F.col("same")) >= similarity).select("a", "b")
 
-def similar_batches(similarity: float):
+
+def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each text with one text of its shingle in its own class of sizes and in the next."""
+    rows = rows.withColumn("class", F.floor(F.log("n") / -np.log(similarity)))
+    first = F.min(F.struct(F.xxhash64("name").alias("h"), "name", "n", "pos")).alias("hub")
+    hubs = rows.groupBy("shingle", "class").agg(first)
+    hubs = hubs.select("shingle", "hub", F.explode(F.array("class", F.col("class") - 1)).alias("class"))
+    met = rows.join(hubs, ["shingle", "class"]).filter(F.col("name") != F.col("hub.name"))
+    met = met.filter(can_reach(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), similarity))
+    return met.select(F.least("name", "hub.name").alias("a"), F.greatest("name", "hub.name").alias("b")).distinct()
+
+
+def tile_pairs(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots = pivot_fingerprints()
         for batch in batches:
             left, right = [], []
-            for names, bits, data in zip(batch["names"], batch["bits"], batch["sketches"]):
-                sketches = [np.frombuffer(d, dtype=np.uint32) for d in data]
-                alike = lambda a, b, own=sketches: resemblance(own[a], own[b]) >= similarity
-                for a, b in links_in_block(np.asarray(bits, dtype=np.int64).view(np.uint64), pivots, WIDE, alike):
-                    left.append(names[a])
-                    right.append(names[b])
+            for row in batch.itertuples(index=False):
+                names, roots = np.asarray(row.names, dtype=object), np.unique(np.asarray(row.roots, dtype=str), return_inverse=True)[1]
+                parts, n, pos = np.asarray(row.parts), np.asarray(row.sizes), np.asarray(row.places)
+                for k in range(len(names) - 1):
+                    rest = slice(k + 1, None)
+                    fits = (roots[rest] != roots[k]) & can_reach(n[k], pos[k], n[rest], pos[rest], similarity)
+                    if row.lo != row.hi:
+                        fits &= parts[rest] != parts[k]
+                    other = names[rest][fits]
+                    left += [min(names[k], x) for x in other]
+                    right += [max(names[k], x) for x in other]
+                    if len(left) > 100_000:
+                        yield pd.DataFrame({"a": left, "b": right}, dtype=object)
+                        left, right = [], []
             yield pd.DataFrame({"a": left, "b": right}, dtype=object)
 
     return run
 
 
+def tiles(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """Rows with their block's number of `members`, repeated with columns `own`, `lo` and `hi`.
+
+    Any two rows of a block meet in a tile (lo, hi); `own` is the row's part. A block is
+    cut into parts of about `size` by hash, and every two parts are a tile, so no tile grows
+    with its block.
+    """
+    parts = F.ceil(F.col("members") / size)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(name), parts))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    return rows.drop("other")
+
+
 def similar_texts(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Spanning links (a, b) among different texts (name, signature).
+    """Links (a, b) that join what similar texts (name, shingles) reach, and no others.
 
-    Fingerprints of texts at this similarity differ by up to WIDE bits, more than bit blocks
-    can be exact for. Pairs are proposed where a band of minimum shingle hashes is equal;
-    pivots and fingerprints discard, and the shingle sets verify what is left.
+    Pairs are proposed where a shingle of both prefixes is equal, which leaves none out, and
+    decided on whole shingle sets. First each text meets one of each shingle; then all those
+    meet that share a shingle and are not joined yet.
     """
-    bands = texts.select("name", F.posexplode("signature.bands").alias("band", "value"))
-    sizes = bands.groupBy("band", "value").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = bands.join(sizes, ["band", "value"])
-    members = shared.join(texts.select("name", "signature.bits", "signature.sketch"), "name")
-    cells = F.when(F.col("size") > CROWD, pivot_cells(F.col("bits"), WIDE)).otherwise(F.array(F.lit("")))
-    dealt = members.withColumn("cell", F.explode(cells))
-    blocks = dealt.groupBy("band", "value", "cell").agg(F.collect_list(F.struct("name", "bits", "sketch")).alias("m")).filter(F.size("m") > 1)
-    lists = blocks.select(F.col("m.name").alias("names"), F.col("m.bits").alias("bits"), F.col("m.sketch").alias("sketches"))
-    return lists.mapInPandas(similar_batches(similarity), "a string, b string").distinct()
+    rows = prefixes(texts, common_shingles(texts), similarity)
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("members")).filter("members > 1")
+    rows = stored(rows.join(shared.select("shingle"), "shingle"), "prefixes")
+    links = stored(verified(star_pairs(rows, similarity), texts, similarity), "stars")
+    joined = components(links).withColumnRenamed("node", "name")
+    rows = rows.join(joined, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    open_ = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members"))
+    open_ = open_.filter("least <> most").select("shingle", "members")
+    dealt = tiles(rows.join(open_, "shingle"), "name", TILE)
+    lists = dealt.groupBy("shingle", "lo", "hi").agg(F.collect_list(F.struct("name", "root", "own", "n", "pos")).alias("m")).filter(F.size("m") > 1)
+    lists = lists.select("lo", "hi", *[F.col(f"m.{c}").alias(d) for c, d in (("name", "names"), ("root", "roots"), ("own", "parts"), ("n", "sizes"), ("pos", "places"))])
+    pairs = lists.mapInPandas(tile_pairs(similarity), "a string, b string").distinct()
+    return links.union(verified(pairs, texts, similarity))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,11 +360,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     """
     name = F.concat_ws(":", F.hex(F.xxhash64(F.col(text))), F.hex(F.hash(F.col(text))), F.col(text).isNull().cast("string"))
     source = docs.select(F.col(key).alias("key"), name.alias("name"), F.col(text).alias("text"))
-    signed = stored(source.select("key", "name", signatures(words)("text").alias("signature")), "signatures")
     own = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "name")).alias("own")
-    # Rows of one name have one text, so any of their signatures is the signature.
-    texts = stored(signed.groupBy("name").agg(own, F.first("signature").alias("signature")), "texts")
-    joined = components(similar_texts(texts)).withColumnRenamed("node", "name")
+    # Rows of one name have one text, so any of their texts is the text.
+    texts = source.groupBy("name").agg(own, F.first("text").alias("text"))
+    texts = stored(texts.select("name", "own", shingle_sets(words)("text").alias("shingles")), "texts")
+    joined = components(similar_texts(texts, similarity)).withColumnRenamed("node", "name")
     groups_ = texts.select("name", "own").join(joined, "name", "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("own").alias("own"))
     mark = F.coalesce(F.col("key").cast("string"), F.lit("\\N")).alias("mark")
     kept = groups_.select("own.name", "own.key").select("name", mark)
