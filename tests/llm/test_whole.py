@@ -23,3 +23,18 @@ def test_near_copies_that_repeat_a_line(spark):
         text, line = words(200), words(12)
         rows += [(2 * k, " ".join(text + line)), (2 * k + 1, " ".join(text + line * 20))]
     assert kept(spark, rows) == [2 * k for k in range(40)]
+
+
+def test_long_texts_are_compared_whole(spark):
+    """Texts of about 2,000 shingles a little above and a little below the similarity."""
+    rows, wanted = [], []
+    for k in range(40):
+        # n of 2,000 shingles are shared, so the similarity is n / (4,000 - n).
+        n = 1785 if k % 2 else 1770
+        text = words(n + 4)
+        rows += [(2 * k + side, " ".join(words(2000 - n) + text)) for side in (0, 1)]
+        wanted.append((2 * k, 2 * k + 1))
+    sets = {i: set(simhash.shingles(t, 5)) for i, t in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 for a, b in wanted}
+    assert kept(spark, rows) == sorted(i for (a, b), same in alike.items() for i in ([a] if same else [a, b]))
+    assert len(set(alike.values())) == 2
