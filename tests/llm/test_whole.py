@@ -38,3 +38,30 @@ def test_long_texts_are_compared_whole(spark):
     alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 for a, b in wanted}
     assert kept(spark, rows) == sorted(i for (a, b), same in alike.items() for i in ([a] if same else [a, b]))
     assert len(set(alike.values())) == 2
+
+
+def test_no_list_grows_with_its_block(spark, monkeypatch):
+    """Fingerprints of one block and of one cell, most of them apart: whole result, short lists."""
+    monkeypatch.setattr(simhash, "HOT", 16)
+    prints = sorted({sum(1 << b for b in DRAW.sample(range(40, 62), DRAW.randint(0, 9))) for _ in range(300)})
+    real = simhash.link_batches
+
+    def watched(radius, count):
+        def run(batches):
+            for batch in batches:
+                assert all(len(m) <= 64 for m in batch["members"])
+                yield from real(radius, count)(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(simhash, "link_batches", watched)
+    joined = {p: {p} for p in prints}
+    for k, a in enumerate(prints):
+        for b in prints[:k]:
+            if (a ^ b).bit_count() <= 3 and joined[a] is not joined[b]:
+                joined[a] |= joined[b]
+                for x in joined[b]:
+                    joined[x] = joined[a]
+    links = simhash.linked_prints(spark.createDataFrame([(p,) for p in prints], "bits long"))
+    found = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    assert {p: found.get(p, p) for p in prints} == {p: min(joined[p]) for p in prints}

@@ -5,10 +5,10 @@ to many reference fingerprints (pivots). The distance of two fingerprints is at
 largest difference of their table rows, so a pair is discarded when any coordinate differs by
 more than the radius; survivors are verified on the fingerprints themselves.
 
-Pairs come from blocks, never from all rows: see `bit_blocks` (exact, for small radii) and
-`shingle_blocks` (for similarities on shingle sets). Only one fingerprint of equal texts takes
-part. A block that many fingerprints share is dealt out by its pivot coordinates, and each
-block gives at most one link per member: links that join what is joined already are left out.
+Pairs come from blocks, never from all rows: `bit_blocks` for fingerprints (exact, for small
+radii) and `prefixes` for similarities on shingle sets (exact). A large block is cut into parts
+that meet two by two, and only where they are not joined already. Only one of equal texts or
+fingerprints takes part.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstate.llm.tables import stored
@@ -28,8 +28,7 @@ SEED = 42
 PIVOTS = 128
 RADIUS = 3
 BLOCKS, EQUAL = 5, 2  # at most 3 differing bits leave 2 of 5 blocks equal
-HOT = 512  # members of a block from which it is dealt out by pivots
-DEAL = 3  # pivots used for that
+HOT = 512  # members of a block from which it is divided, and of a part of what stays large
 
 # Near-duplicates by shingle sets: 5 words, similarity 0.8.
 WORDS, SIMILARITY = 5, 0.8
@@ -87,19 +86,6 @@ def distance_table(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
-def pivot_cells(bits: Column, radius: int = RADIUS) -> Column:
-    """Cells of a fingerprint over the first pivots, as an array of strings.
-
-    A fingerprint is in the cell of each coordinate and of the coordinate plus the radius. Two
-    within the radius share a cell: of their coordinates on a pivot, the larger one's own cell
-    is one of the two cells of the smaller one. Both being copied, that also holds across pivots.
-    """
-    width = radius + 1
-    places = [F.bit_count(bits.bitwiseXOR(F.lit(p))) for p in pivot_fingerprints()[:DEAL].view(np.int64).tolist()]
-    both = [[F.floor(place / width), F.floor((place + radius) / width)] for place in places]
-    return F.array_distinct(F.array(*[F.concat_ws(".", *choice) for choice in itertools.product(*both)]))
-
-
 # --- links inside blocks
 
 
@@ -129,6 +115,20 @@ def links_in_block(prints: np.ndarray, pivots: np.ndarray, radius: int) -> list[
     return found
 
 
+def tiles(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """Rows with their block's number of `members`, repeated with columns `own`, `lo` and `hi`.
+
+    Any two rows of a block meet in a tile (lo, hi); `own` is the row's part. A block is
+    cut into parts of about `size` by hash, and every two parts are a tile, so no tile grows
+    with its block.
+    """
+    parts = F.ceil(F.col("members") / size)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(name), parts))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    return rows.drop("other")
+
+
 def link_batches(radius: int, count: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivots = pivot_fingerprints(count)
@@ -164,12 +164,29 @@ def linked_prints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = bit_blocks(prints)
     sizes = rows.groupBy("block").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
     shared = rows.join(sizes, "block")
-    dealt = shared.select(
-        "block", "bits",
-        F.explode(F.when(F.col("size") > HOT, pivot_cells(F.col("bits"), radius)).otherwise(F.array(F.lit("")))).alias("cell"),
-    )
-    blocks = dealt.groupBy("block", "cell").agg(F.collect_list("bits").alias("members")).filter(F.size("members") > 1)
-    return blocks.select("members").mapInPandas(link_batches(radius, PIVOTS), "a long, b long").distinct()
+    # One of radius + 1 parts of all bits is equal, too: that divides a hot block further.
+    edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
+    masks = [np.uint64(((1 << b) - 1) ^ ((1 << a) - 1)).astype(np.int64).item() for a, b in itertools.pairwise(edges)]
+    cell = lambda k, value: F.struct(F.lit(k).alias("part"), value.cast("long").alias("value"))
+    finer = F.array(*[cell(k, F.col("bits").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])
+    dealt = shared.select("block", "bits", F.explode(F.when(F.col("size") > HOT, finer).otherwise(F.array(cell(-1, F.lit(0))))).alias("cell"))
+    sizes = dealt.groupBy("block", "cell").agg(F.count("*").alias("members")).filter("members > 1")
+    rows = stored(dealt.join(sizes, ["block", "cell"]), "blocks")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("bits"), F.ceil(F.col("members") / HOT)))
+    lists = rows.groupBy("block", "cell", "own").agg(F.collect_list("bits").alias("members")).filter(F.size("members") > 1)
+    links = lists.select("members").mapInPandas(link_batches(radius, PIVOTS), "a long, b long").distinct()
+    large = rows.filter(F.col("members") > HOT)
+    if large.isEmpty():
+        return links
+    # What is not joined yet in a cell of several parts meets in tiles of two parts.
+    links = stored(links, "part-links")
+    joined = components(links).withColumnRenamed("node", "bits")
+    large = large.drop("own").join(joined, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    open_ = large.groupBy("block", "cell").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    met = tiles(large.join(open_.select("block", "cell"), ["block", "cell"]), "bits", HOT).filter("lo < hi")
+    lists = met.groupBy("block", "cell", "lo", "hi").agg(F.collect_list("bits").alias("members")).filter(F.size("members") > 1)
+    more = lists.select("members").mapInPandas(link_batches(radius, PIVOTS), "a long, b long")
+    return links.union(more).distinct()
 
 
 # --- components
@@ -316,20 +333,6 @@ def tile_pairs(similarity: float):
     return run
 
 
-def tiles(rows: DataFrame, name: str, size: int) -> DataFrame:
-    """Rows with their block's number of `members`, repeated with columns `own`, `lo` and `hi`.
-
-    Any two rows of a block meet in a tile (lo, hi); `own` is the row's part. A block is
-    cut into parts of about `size` by hash, and every two parts are a tile, so no tile grows
-    with its block.
-    """
-    parts = F.ceil(F.col("members") / size)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(name), parts))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    return rows.drop("other")
-
-
 def similar_texts(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) that join what similar texts (name, shingles) reach, and no others.
 
