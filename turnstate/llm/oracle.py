@@ -184,3 +184,54 @@ kept AS (
 SELECT docs.doc_id, CASE WHEN docs.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
 FROM docs LEFT JOIN kept ON docs.doc_id = kept.doc_id
 """
+
+ORACLE["op13_filter_interaction_audit"] = r"""
+WITH known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+),
+texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+      || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+      || CASE WHEN t.doc_id > least THEN 'E' ELSE '' END AS failed
+  FROM texts t LEFT JOIN known k ON t.doc_id = k.doc_id
+),
+cells AS (
+  SELECT part, failed, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL
+),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+removal AS (
+  SELECT part, filter_order, failed, docs, good, toxic,
+    list_min(list_transform(list_append(string_split(failed, ''), '.'),
+      lambda x: CASE WHEN x IN ('', '.') THEN 6 ELSE position(x IN filter_order) END)) AS gone
+  FROM cells CROSS JOIN orders
+),
+steps AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter,
+    sum(CASE WHEN gone > step THEN docs ELSE 0 END) AS kept,
+    sum(CASE WHEN gone = step THEN docs ELSE 0 END) AS removed,
+    sum(CASE WHEN gone < step AND contains(failed, substr(filter_order, step, 1)) THEN docs ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = substr(filter_order, step, 1) THEN docs ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN gone = step THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM removal CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+FROM steps
+"""

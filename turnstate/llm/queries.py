@@ -11,13 +11,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstate.llm import byte_bpe, decontaminate, language_crf, secrets, sharding, simhash, templates, topk, toxicity, url_templates
+from turnstate.llm import alignment, byte_bpe, decontaminate, filter_audit, language_crf, packing, secrets, sharding, simhash, templates
+from turnstate.llm import topk, toxicity, url_templates
 from turnstate.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 SHARD_BYTES = 2 * 1024 * 1024
+SEQUENCE_TOKENS = 2048
+BYTE_LEVEL, SENTENCE_PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -119,3 +122,27 @@ def op9_line_dedup(spark, sf_dir):
 def op10_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component of every document, three-word shingles, 3 bits."""
     return simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_best_fit_packing(spark, sf_dir):
+    """The place of every piece of every document in sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = packing.pieces(docs, public_tokenizers.path(BYTE_LEVEL), SEQUENCE_TOKENS)
+    rows = rows.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"))
+    return packing.pack(rows, SEQUENCE_TOKENS)
+
+
+@query
+def op12_cross_tokenizer_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two tokenizers, in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = alignment.align(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(SENTENCE_PIECES))
+    return rows.select("doc_id", "alignment.*")
+
+
+@query
+def op13_filter_interaction_audit(spark, sf_dir):
+    """What five filters keep, remove and lose in every order of theirs, per language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
