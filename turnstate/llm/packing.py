@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,18 +129,26 @@ class OpenSequences:
 
 
 def packed_runs(tables: Iterator[pa.Table], capacity: int, first_id: int, task: int) -> Iterator[pa.Table]:
-    """Tables of (row, length) with columns task, open, sequence_id and offset: closed ones as they close."""
+    """Tables of (row, length) with columns task, open, sequence_id and offset: closed ones as they close.
+
+    Rows without a length pass through at once, with no place.
+    """
     state = OpenSequences(capacity, OPEN)
     held = None  # rows of open sequences: (table, sequence, offset)
     schema_end = [("task", pa.int64()), ("open", pa.bool_()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
-    def out(table: pa.Table, number: np.ndarray, offset: np.ndarray, still_open: bool) -> pa.Table:
-        same = [np.full(len(number), task), np.full(len(number), still_open), number + first_id, offset]
+    def out(table: pa.Table, number, offset, still_open: bool) -> pa.Table:
+        same = [np.full(len(number), task), np.full(len(number), still_open), number, offset]
         for (name, kind), values in zip(schema_end, same):
             table = table.append_column(name, pa.array(values, kind))
         return table
 
     for table in tables:
+        sized = pc.greater(pc.fill_null(table.column("length"), 0), 0)
+        if (unplaced := table.filter(pc.invert(sized))).num_rows:
+            none = pa.nulls(len(unplaced), pa.int64())
+            yield out(unplaced, none, none, False)
+        table = table.filter(sized)
         for begin in range(0, len(table), RUN):
             run = table.slice(begin, RUN)
             lengths = run.column("length").to_numpy()
@@ -155,11 +164,11 @@ def packed_runs(tables: Iterator[pa.Table], capacity: int, first_id: int, task:
             ended = np.isin(number, closed)
             order = np.flatnonzero(ended)
             order = order[np.lexsort((offset[order], number[order]))]
-            yield out(run.take(order), number[order], offset[order], False)
+            yield out(run.take(order), number[order] + first_id, offset[order], False)
             rest = np.flatnonzero(~ended)
             held = (run.take(rest), number[rest], offset[rest])
     if held is not None:
-        yield out(*held, True)
+        yield out(held[0], held[1] + first_id, held[2], True)
 
 
 def _sequence_base(round_: int, task: int) -> int:
@@ -189,8 +198,6 @@ def pack(rows: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     names = [c for c in rows.columns if c not in ("sequence_id", "offset")]
     kept = [F.col(f"`{c}`") for c in names]
     source = rows.select(F.struct(*kept).alias("row"), F.col(f"`{length}`").cast("long").alias("length"))
-    empty = source.filter("coalesce(length, 0) <= 0")
-    source = source.filter("length > 0")
     added = "task long, open boolean, sequence_id long, offset long"
     schema = T.StructType([*source.schema.fields, *T._parse_datatype_string(added).fields])
 
@@ -211,8 +218,6 @@ def pack(rows: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     result = found[0]
     for more in found[1:]:
         result = result.union(more)
-    none = F.lit(None).cast("long")
-    result = result.select("row", "sequence_id", "offset").union(empty.select("row", none, none))
     return result.select("row.*", "sequence_id", "offset")
 
 
