@@ -6,10 +6,10 @@ Anchors split a document into windows of token ids, mostly one word each. What h
 window depends on its ids alone, so its alignment is worked out once and remembered by the pair
 of id tuples.
 
-Counts over the corpus come from windows as well: a task gathers documents into chunks and
-passes on each different window of a chunk once, with how often it occurs. Pair counts are
-aggregated from these, joined back to the windows of each chunk, and only then to its documents.
-No table of all pairs is broadcast, and a document's links are never written out one by one.
+For the counts over the corpus a task gathers documents into chunks and passes on each different
+pair of a chunk once, with how often it occurs. Pair counts are aggregated from these and joined
+back to the pairs of each chunk, and a chunk's documents look them up there. No table of all
+pairs is broadcast, and a document's links are never rows of their own.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 import struct
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -112,18 +113,20 @@ class Windows:
 
 
 class Chunk:
-    """Documents gathered by a task, and each different window of theirs once."""
+    """Documents gathered by a task, with their links as numbers of the chunk's different pairs."""
 
     def __init__(self, chunk: int) -> None:
         self.chunk, self.tokens = chunk, 0
         self.numbers: dict[Window, int] = {}
-        self.found: list[tuple[str, tuple[int, ...]]] = []
-        self.rows: list[tuple] = []  # key, n_a, n_b, n_groups, n_links, digest, windows, times
+        self.found: list[tuple[str, tuple[int, ...]]] = []  # groups and links of each window
+        self.pairs: dict[int, int] = {}
+        self.rows: list[tuple] = []  # key, n_a, n_b, n_groups, n_links, digest, links, times
 
     def number(self, window: Window, windows: Windows) -> int:
         known = self.numbers.setdefault(window, len(self.found))
         if known == len(self.found):
-            self.found.append(windows.aligned(window))
+            groups, links = windows.aligned(window)
+            self.found.append((groups, tuple([self.pairs.setdefault(pair, len(self.pairs)) for pair in links])))
         return known
 
     def add(self, key, ids, windows: Windows) -> None:
@@ -135,22 +138,22 @@ class Chunk:
         numbers = list(map(self.numbers.get, cut))
         if None in numbers:
             numbers = [self.number(window, windows) for window in cut]
-        groups = ";".join([self.found[n][0] for n in numbers])
-        n_groups = groups.count("|")
-        own, times = np.unique(numbers, return_counts=True)
-        # Every end but those shared begins one more link than there are groups.
-        n_a, n_b = map(len, ids)
-        self.rows.append((key, n_a, n_b, n_groups, n_a + n_b - n_groups, hashlib.sha256(groups.encode()).hexdigest(), own, times))
+        found = [self.found[n] for n in numbers]
+        groups = ";".join([f[0] for f in found])
+        links = list(chain.from_iterable([f[1] for f in found]))
+        own, times = np.unique(links, return_counts=True)
+        digest = hashlib.sha256(groups.encode()).hexdigest()
+        self.rows.append((key, len(ids[0]), len(ids[1]), groups.count("|"), len(links), digest, own, times))
         self.tokens += len(ids[0]) + len(ids[1])
 
     def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """First the documents, then the windows with their number, occurrences and links."""
-        seen = np.zeros(len(self.found), np.int64)
+        """First the documents, then the pairs with their number and occurrences."""
+        seen = np.zeros(len(self.pairs), np.int64)
         for row in self.rows:
             seen[row[6]] += row[7]
         parts = [
             (len(self.rows), dict(zip(schema.names[1:9], zip(*self.rows)))),
-            (len(self.found), {"window": range(len(self.found)), "seen": seen, "links": [f[1] for f in self.found]}),
+            (len(self.pairs), {"number": range(len(self.pairs)), "pair": list(self.pairs), "seen": seen}),
         ]
         for size, columns in parts:
             own = {**columns, "chunk": [self.chunk] * size}
@@ -159,13 +162,13 @@ class Chunk:
 
 
 FIELDS = (
-    "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, windows array<int>, times array<int>, "
-    "window int, seen long, links array<long>"
+    "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>, times array<int>, "
+    "number int, pair long, seen long"
 )
 
 
 def chunks(docs: DataFrame, byte_level: str, sentence_pieces: str, key: str, text: str) -> DataFrame:
-    """One row per document and one per different window of a chunk (those have a `window`)."""
+    """One row per document and one per different pair of a chunk (those have a `pair`)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -194,25 +197,25 @@ def chunks(docs: DataFrame, byte_level: str, sentence_pieces: str, key: str, tex
     return source.mapInArrow(run, schema)
 
 
-def pair_counts(windows: DataFrame) -> DataFrame:
+def pair_counts(pairs: DataFrame) -> DataFrame:
     """(pair, count, best) over all links: `best` where no pair of the same second id has more."""
-    links = windows.select("seen", F.explode("links").alias("pair"))
-    counts = links.groupBy("pair").agg(F.sum("seen").alias("count"))
+    counts = pairs.groupBy("pair").agg(F.sum("seen").alias("count"))
     second = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
-    most = counts.groupBy(second.alias("second")).agg(F.max("count").alias("most"))
+    # One row per id of the second vocabulary at most.
+    most = F.broadcast(counts.groupBy(second.alias("second")).agg(F.max("count").alias("most")))
     rows = counts.withColumn("second", second).join(most, "second")
     return rows.select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
 
 
 def sums_of_chunk(schema: T.StructType):
-    """Adds n_best and count_sum to the documents of one chunk from the sums of its windows."""
+    """Adds n_best and count_sum to the documents of one chunk from the figures of its pairs."""
 
-    def run(docs: pa.Table, windows: pa.Table) -> pa.Table:
-        best, total = (np.zeros(len(windows), np.int64) for _ in range(2))
-        at = windows.column("window").to_numpy()
-        best[at], total[at] = windows.column("best").to_numpy(), windows.column("total").to_numpy()
+    def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
+        best, total = (np.zeros(len(pairs), np.int64) for _ in range(2))
+        at = pairs.column("number").to_numpy()
+        best[at], total[at] = pairs.column("best").to_numpy(), pairs.column("count").to_numpy()
         n_best, count_sum = [], []
-        for own, times in zip(docs.column("windows"), docs.column("times")):
+        for own, times in zip(docs.column("links"), docs.column("times")):
             own, times = own.values.to_numpy(), times.values.to_numpy().astype(np.int64)
             n_best.append(int(best[own] @ times))
             count_sum.append(int(total[own] @ times))
@@ -233,15 +236,15 @@ def align(docs: DataFrame, byte_level: str, sentence_pieces: str, key: str = "do
     zeros and no digest. Repeated rows count and stay as often as they are there.
     """
     rows = stored(chunks(docs, byte_level, sentence_pieces, key, text), "aligned")
-    of_docs, of_windows = rows.filter("window is null"), rows.filter("window is not null")
-    counts = pair_counts(of_windows)
-    links = of_windows.select("chunk", "window", F.explode("links").alias("pair"))
-    sums = links.join(counts, "pair").groupBy(F.col("chunk").alias("of"), "window").agg(F.sum("best").alias("best"), F.sum("count").alias("total"))
+    of_docs = rows.filter("pair is null")
+    # Counting and looking up share one shuffle by pair: a chunk has each pair once.
+    pairs = rows.filter("pair is not null").select("chunk", "number", "pair", "seen").repartition("pair")
+    figures = pairs.select(F.col("chunk").alias("of"), "number", "pair").join(pair_counts(pairs), "pair").drop("pair")
     shown = ["n_a", "n_b", "n_groups", "n_links"]
     row = F.struct("key", *shown, "groups_sha256").alias("row")
-    left = of_docs.select("chunk", row, "windows", "times")
+    left = of_docs.select("chunk", row, "links", "times")
     schema = T.StructType([left.schema["row"], *T._parse_datatype_string("n_best long, count_sum long").fields])
-    done = left.groupBy("chunk").cogroup(sums.groupBy("of")).applyInArrow(sums_of_chunk(schema), schema)
+    done = left.groupBy("chunk").cogroup(figures.groupBy("of")).applyInArrow(sums_of_chunk(schema), schema)
     columns = [*[F.col(f"row.{c}") for c in shown], "n_best", "count_sum", "row.groups_sha256"]
     return done.select(F.col("row.key").alias(key), F.struct(*columns).alias("alignment"))
 
