@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstate.llm.tables import stored
@@ -238,23 +238,23 @@ def groups(docs: DataFrame, words: int = 3, radius: int = RADIUS, key: str = "do
 # --- near-duplicates by similarity of shingle sets
 
 
-def shingle_sets(words: int):
-    """A Pandas UDF: text to its different shingle hashes; texts without words share one of their own."""
-    none = np.array([xxhash.xxh64_intdigest(b"", SEED)], dtype=np.uint64)
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different shingle hashes of a text, in order; texts without words share one of their own."""
+    found = np.unique(shingle_hashes(text, words))
+    return found if len(found) else np.array([xxhash.xxh64_intdigest(b"", SEED)], dtype=np.uint64)
 
-    def run(texts: pd.Series) -> pd.Series:
-        sets = (np.unique(shingle_hashes(text, words)) for text in texts)
-        return pd.Series([(s if len(s) else none).view(np.int64) for s in sets], dtype=object)
-
-    return F.pandas_udf(run, "array<long>")
 
-
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and ranks of shingles that recur in a sample of (name, shingles).
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and ranks of shingles that recur in a sample of (id, text).
 
     They only set the order in which shingles are taken; no order changes the pairs that are found.
     """
-    sample = texts.filter(F.pmod(F.xxhash64("name"), F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("shingle"))
+
+    def run(part: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(text, words).view(np.int64) for text in part], dtype=object)
+
+    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    sample = sample.select(F.explode(F.pandas_udf(run, "array<long>")("text")).alias("shingle"))
     counts = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
     found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     hashes = np.array([r["shingle"] for r in found], dtype=np.int64)
@@ -262,97 +262,155 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], np.arange(len(found), 0, -1)[order]
 
 
-def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """(name, n, pos, shingle): the shingles of each text of which similar texts share at least one.
+def needed_overlap(n, m, similarity: float):
+    """Shared shingles that sets of n and m must have to be similar, a little less for rounding."""
+    return (n + m) * (similarity / (1 + similarity)) - 1e-6
+
+
+def can_reach(n, pos, m, at, similarity: float):
+    """Whether sets of n and m whose first shared shingle is at these places can be similar."""
+    needed = needed_overlap(n, m, similarity)
+    return (n - pos >= needed) & (m - at >= needed)
+
+
+def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> DataFrame:
+    """(id, n, pos, shingle): the shingles of each text of which similar texts share at least one.
 
     In any one order of all shingles, sets of n and m with this similarity share one of the first
     n - ceil(similarity n) + 1 and m - ceil(similarity m) + 1. Common shingles come last.
     """
     held = texts.sparkSession.sparkContext.broadcast(common)
 
-    def run(sets: pd.Series) -> pd.Series:
+    def run(part: pd.Series) -> pd.DataFrame:
         hashes, ranks = held.value
-        found = []
-        for own in sets:
-            own = np.sort(np.asarray(own, dtype=np.int64))
+        sizes, found = [], []
+        for text in part:
+            own = np.sort(shingle_set(text, words).view(np.int64))
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
                 own = own[np.argsort(np.where(hashes[at] == own, ranks[at], 0), kind="stable")]
+            sizes.append(len(own))
             found.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1])
-        return pd.Series(found, dtype=object)
+        return pd.DataFrame({"n": sizes, "first": pd.Series(found, dtype=object)})
 
-    first = F.pandas_udf(run, "array<long>")("shingles")
-    return texts.select("name", F.size("shingles").alias("n"), F.posexplode(first).alias("pos", "shingle"))
+    read = F.pandas_udf(run, "n int, first array<long>")("text").alias("p")
+    return texts.select("id", read).select("id", "p.n", F.posexplode("p.first").alias("pos", "shingle"))
 
 
-def can_reach(n, pos, m, at, similarity: float):
-    """Whether sets of n and m whose first shared shingle is at these places can be similar."""
-    needed = (n + m) * (similarity / (1 + similarity)) - 1e-6
-    return (n - pos >= needed) & (m - at >= needed)
+def similar_pairs(words: int, similarity: float):
+    """A Pandas UDF: whether the whole shingle sets of two texts have at least this similarity."""
+
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        found, last, hub = [], None, None
+        for a, b in zip(left, right):
+            if hub is None or b != last:
+                last, hub = b, shingle_set(b, words)
+            own = shingle_set(a, words)
+            same = len(np.intersect1d(own, hub, assume_unique=True))
+            found.append(same >= similarity * (len(own) + len(hub) - same))
+        return pd.Series(found, dtype=bool)
+
+    return F.pandas_udf(run, "boolean")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have at least this similarity."""
-    left = texts.select(F.col("name").alias("a"), F.col("shingles").alias("s"))
-    right = texts.select(F.col("name").alias("b"), F.col("shingles").alias("t"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("s", "t")))
-    return both.filter(F.col("same") / (F.size("s") + F.size("t") - F.col("same")) >= similarity).select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar. Texts travel, as they are smaller than their shingles."""
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("s"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(similar_pairs(words, similarity)("s", "t")).select("a", "b")
 
 
 def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each text with one text of its shingle in its own class of sizes and in the next."""
+    """(id, hub, shared): each text with one text of its shingle in its own class of sizes and in the next.
+
+    `shared` is the number of shingles for which that text is the hub.
+    """
     rows = rows.withColumn("class", F.floor(F.log("n") / -np.log(similarity)))
-    first = F.min(F.struct(F.xxhash64("name").alias("h"), "name", "n", "pos")).alias("hub")
+    first = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "pos")).alias("hub")
     hubs = rows.groupBy("shingle", "class").agg(first)
     hubs = hubs.select("shingle", "hub", F.explode(F.array("class", F.col("class") - 1)).alias("class"))
-    met = rows.join(hubs, ["shingle", "class"]).filter(F.col("name") != F.col("hub.name"))
+    met = rows.join(hubs, ["shingle", "class"]).filter(F.col("id") != F.col("hub.id"))
     met = met.filter(can_reach(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), similarity))
-    return met.select(F.least("name", "hub.name").alias("a"), F.greatest("name", "hub.name").alias("b")).distinct()
+    return met.groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("shared"))
 
 
 def tile_pairs(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            left, right = [], []
+            left, right, size = [], [], 0
             for row in batch.itertuples(index=False):
-                names, roots = np.asarray(row.names, dtype=object), np.unique(np.asarray(row.roots, dtype=str), return_inverse=True)[1]
-                parts, n, pos = np.asarray(row.parts), np.asarray(row.sizes), np.asarray(row.places)
-                for k in range(len(names) - 1):
+                ids, roots, parts, n, pos = (np.asarray(x, dtype=np.int64) for x in (row.ids, row.roots, row.parts, row.sizes, row.places))
+                members = np.stack([ids, n, pos], axis=1)
+                for k in range(len(ids) - 1):
                     rest = slice(k + 1, None)
-                    fits = (roots[rest] != roots[k]) & can_reach(n[k], pos[k], n[rest], pos[rest], similarity)
+                    fits = (roots[rest] != roots[k]) & (np.minimum(n[rest], n[k]) >= similarity * np.maximum(n[rest], n[k]) - 1e-6)
                     if row.lo != row.hi:
                         fits &= parts[rest] != parts[k]
-                    other = names[rest][fits]
-                    left += [min(names[k], x) for x in other]
-                    right += [max(names[k], x) for x in other]
-                    if len(left) > 100_000:
-                        yield pd.DataFrame({"a": left, "b": right}, dtype=object)
-                        left, right = [], []
-            yield pd.DataFrame({"a": left, "b": right}, dtype=object)
+                    other = members[rest][fits]
+                    own = np.broadcast_to(members[k], other.shape)
+                    smaller = (own[:, :1] < other[:, :1])
+                    left.append(np.where(smaller, own, other))
+                    right.append(np.where(smaller, other, own))
+                    size += len(other)
+                    if size > 100_000:
+                        yield tile_frame(left, right, similarity)
+                        left, right, size = [], [], 0
+            if left:
+                yield tile_frame(left, right, similarity)
 
     return run
 
 
-def similar_texts(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that join what similar texts (name, shingles) reach, and no others.
+def tile_frame(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> pd.DataFrame:
+    (a, n, pos), (b, m, at) = np.concatenate(left).T, np.concatenate(right).T
+    frame = pd.DataFrame({"a": a, "b": b, "n": n, "m": m, "reach": can_reach(n, pos, m, at, similarity), "shared": 1})
+    # What a tile has several times need not travel several times.
+    return frame.groupby(["a", "b"], as_index=False).agg({"n": "max", "m": "max", "reach": "max", "shared": "sum"})
+
+
+def overlap_allows(similarity: float):
+    """Whether a pair can be similar, from all its shared prefix shingles.
+
+    Take the set whose prefix ends first in the order of shingles: what the sets share beyond the
+    shared prefix shingles lies behind that prefix, where ceil(similarity n) - 1 shingles are left.
+    """
+    left = lambda size: F.ceil(F.col(size) * similarity - 1e-9) - 1
+    return F.col("shared") + F.greatest(left("n"), left("m")) >= needed_overlap(F.col("n"), F.col("m"), similarity)
+
+
+def similar_texts(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that join what similar texts (id, text) reach, and no others.
 
     Pairs are proposed where a shingle of both prefixes is equal, which leaves none out, and
-    decided on whole shingle sets. First each text meets one of each shingle; then all those
-    meet that share a shingle and are not joined yet.
+    decided on the whole texts. First each text meets the hub it shares most shingles with, then
+    its other hubs it is not joined with yet, and then all those meet that share a shingle and
+    are not joined yet, as far as the number of shared shingles allows.
     """
-    rows = prefixes(texts, common_shingles(texts), similarity)
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("members")).filter("members > 1")
-    rows = stored(rows.join(shared.select("shingle"), "shingle"), "prefixes")
-    links = stored(verified(star_pairs(rows, similarity), texts, similarity), "stars")
-    joined = components(links).withColumnRenamed("node", "name")
-    rows = rows.join(joined, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    rows = prefixes(texts, common_shingles(texts, words), words, similarity)
+    # One shuffle finds both the shingles that are shared and their rows.
+    members = F.count("*").over(Window.partitionBy("shingle"))
+    rows = stored(rows.withColumn("members", members).filter("members > 1"), "prefixes")
+    stars = stored(star_pairs(rows, similarity), "star-pairs")
+    best = stars.groupBy("id").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+    pair = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
+    links = stored(verified(best.select(*pair).distinct(), texts, words, similarity), "stars")
+    joined = components(links)
+    apart = stars.join(joined.toDF("id", "root"), "id", "left").join(joined.toDF("hub", "other"), "hub", "left")
+    apart = apart.filter(F.coalesce("root", "id") != F.coalesce("other", "hub")).select(*pair).distinct()
+    tried = best.select(*pair).distinct()
+    links = stored(links.union(verified(apart.join(tried, ["a", "b"], "left_anti"), texts, words, similarity)), "stars")
+    joined = components(links).withColumnRenamed("node", "id")
+    rows = rows.drop("members").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_ = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members"))
     open_ = open_.filter("least <> most").select("shingle", "members")
-    dealt = tiles(rows.join(open_, "shingle"), "name", TILE)
-    lists = dealt.groupBy("shingle", "lo", "hi").agg(F.collect_list(F.struct("name", "root", "own", "n", "pos")).alias("m")).filter(F.size("m") > 1)
-    lists = lists.select("lo", "hi", *[F.col(f"m.{c}").alias(d) for c, d in (("name", "names"), ("root", "roots"), ("own", "parts"), ("n", "sizes"), ("pos", "places"))])
-    pairs = lists.mapInPandas(tile_pairs(similarity), "a string, b string").distinct()
-    return links.union(verified(pairs, texts, similarity))
+    dealt = tiles(rows.join(open_, "shingle"), "id", TILE)
+    lists = dealt.groupBy("shingle", "lo", "hi").agg(F.collect_list(F.struct("id", "root", "own", "n", "pos")).alias("m")).filter(F.size("m") > 1)
+    lists = lists.select("lo", "hi", *[F.col(f"m.{c}").alias(d) for c, d in (("id", "ids"), ("root", "roots"), ("own", "parts"), ("n", "sizes"), ("pos", "places"))])
+    pairs = lists.mapInPandas(tile_pairs(similarity), "a long, b long, n long, m long, reach boolean, shared long")
+    whole = [F.max("n").alias("n"), F.max("m").alias("m"), F.max("reach").alias("reach"), F.sum("shared").alias("shared")]
+    pairs = pairs.groupBy("a", "b").agg(*whole).filter(F.col("reach") & overlap_allows(similarity)).select("a", "b")
+    return links.union(verified(pairs, texts, words, similarity))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,16 +419,19 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     A group is what links of at least this similarity reach. Its smallest non-null key stays; of
     rows that repeat key and text, one. Texts without words, null ones too, are one group.
     """
-    name = F.concat_ws(":", F.hex(F.xxhash64(F.col(text))), F.hex(F.hash(F.col(text))), F.col(text).isNull().cast("string"))
+    whole = F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16)
+    name = F.coalesce(whole, F.lit(b"").cast("binary"))
     source = docs.select(F.col(key).alias("key"), name.alias("name"), F.col(text).alias("text"))
-    own = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "name")).alias("own")
-    # Rows of one name have one text, so any of their texts is the text.
+    own = F.min(F.struct(F.col("key").isNull().alias("none"), "key")).alias("own")
+    # Rows of one name have one text, so any of their texts is the text. The short number stands
+    # for the name in everything that follows; it is fixed once the table is written.
     texts = source.groupBy("name").agg(own, F.first("text").alias("text"))
-    texts = stored(texts.select("name", "own", shingle_sets(words)("text").alias("shingles")), "texts")
-    joined = components(similar_texts(texts, similarity)).withColumnRenamed("node", "name")
-    groups_ = texts.select("name", "own").join(joined, "name", "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("own").alias("own"))
+    texts = stored(texts.select(F.monotonically_increasing_id().alias("id"), "name", "own", "text"), "texts", compression="zstd")
+    joined = components(similar_texts(texts.select("id", "text"), words, similarity)).withColumnRenamed("node", "id")
+    members = texts.select("id", "own", "name").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = members.groupBy("root").agg(F.min(F.struct("own", "name")).alias("least")).select("least.*")
     mark = F.coalesce(F.col("key").cast("string"), F.lit("\\N")).alias("mark")
-    kept = groups_.select("own.name", "own.key").select("name", mark)
+    kept = least.select(F.col("own.key").alias("key"), "name").select("name", mark)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"), F.col(key).alias("key"))
     rows = rows.select("row", "name", mark)
     return rows.join(kept, ["name", "mark"], "left_semi").dropDuplicates(["name", "mark"]).select("row.*")

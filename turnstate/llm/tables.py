@@ -22,8 +22,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark, fallback)}/{name}-{os.urandom(6).hex()}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows written as a table in the shared folder and read back: the lineage ends here."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
