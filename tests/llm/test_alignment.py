@@ -110,13 +110,12 @@ def test_windows_are_cut_at_anchors_and_remembered():
     assert len(windows.memo) == 1
 
 
-def test_memo_bound_changes_nothing(monkeypatch):
-    windows, texts = alignment.Windows(A, B), [t for t in TEXTS if t]
-    wanted = [[windows.aligned(w) for w in windows.cut(*ids)] for ids in windows.encode(texts) if ids]
+def test_a_new_memo_changes_nothing(spark, docs, monkeypatch):
+    line = lambda df: sorted(df.collect(), key=repr)
+    wanted = line(alignment.align(docs, A, B)), line(alignment.aligned_groups(docs, A, B))
+    monkeypatch.setattr(alignment, "CHUNK_TOKENS", 50)
     monkeypatch.setattr(alignment, "MEMO_TOKENS", 10)
-    small = alignment.Windows(A, B)
-    assert [[small.aligned(w) for w in small.cut(*ids)] for ids in small.encode(texts) if ids] == wanted
-    assert len(small.memo) <= 10
+    assert (line(alignment.align(docs, A, B)), line(alignment.aligned_groups(docs, A, B))) == wanted
 
 
 def test_empty_table_and_only_empty_texts(spark, docs):

@@ -18,7 +18,6 @@ import hashlib
 import struct
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,8 @@ from pyspark.sql import types as T
 from turnstate.llm.tables import stored
 from turnstate.llm.vocabularies import ByteLevelEncoder, PieceEncoder
 
-CHUNK_TOKENS = 2_000_000  # tokens of both kinds from which a chunk of documents is complete
-MEMO_TOKENS = 2_000_000  # ids in remembered windows; the memo is emptied beyond that
+CHUNK_TOKENS = 4_000_000  # tokens of both kinds from which a chunk of documents is complete
+MEMO_TOKENS = 2_000_000  # ids in remembered windows; beyond that the next chunk begins a new memo
 ENCODED_CHARS = 500_000  # characters encoded at a time
 
 # A window is its pair of id tuples packed as bytes: 4 for each id, those of the second kind with
@@ -50,7 +49,12 @@ class Windows:
         self.lengths = [sizes.tolist() for sizes in self.sizes]
         self.names = [[str(k) for k in range(len(table))] for table in self.bytes]
         self.spaced = [np.array([b[:1] == b" " for b in table]) for table in self.bytes]
-        self.memo: dict[Window, tuple[str, tuple[int, ...]]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin a new memo, and with it a new numbering of pairs."""
+        self.memo: dict[Window, tuple[str, bytes]] = {}
+        self.pairs: dict[int, int] = {}
         self.held = 0
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
@@ -70,24 +74,33 @@ class Windows:
         _, at_a, at_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
         at_a, at_b = at_a[:-1] + 1, at_b[:-1] + 1
         anchor = self.spaced[0][x[at_a]] & self.spaced[1][y[at_b]]
-        cuts_a, cuts_b = [[0, *(4 * at[anchor]).tolist(), 4 * len(ids)] for at, ids in ((at_a, x), (at_b, y))]
-        own, other = x.tobytes(), (y | SECOND).tobytes()
-        return [own[i:k] + other[j:m] for i, k, j, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
-
-    def aligned(self, window: Window) -> tuple[str, tuple[int, ...]]:
-        """(groups as text, links as a << 32 | b) of a window."""
+        # The number of the window of every token; a stable sort by it lays windows side by side.
+        of = np.zeros(len(x) + len(y), np.int32)
+        of[at_a[anchor]] = 1
+        of[len(x) + at_b[anchor]] = 1
+        of[: len(x)], of[len(x) :] = np.cumsum(of[: len(x)]), np.cumsum(of[len(x) :])
+        packed = np.concatenate([x, y | SECOND])[np.argsort(of, kind="stable")].tobytes()
+        ends = (4 * np.cumsum(np.bincount(of))).tolist()
+        return [packed[i:j] for i, j in zip([0, *ends], ends)]
+
+    def aligned(self, window: Window) -> tuple[str, bytes]:
+        """(groups as text, numbers of the linked pairs as 32-bit integers) of a window."""
         known = self.memo.get(window)
         if known is None:
             ids = struct.unpack(f"={len(window) // 4}I", window)
             first = bisect_left(ids, True, key=SECOND.__le__)
-            known = self._align(ids[:first], [i ^ SECOND for i in ids[first:]])
-            self.held += len(ids)
-            if self.held > MEMO_TOKENS:
-                self.memo, self.held = {}, len(ids)
+            groups, links = self._align(ids[:first], [i ^ SECOND for i in ids[first:]])
+            number = self.pairs.setdefault
+            known = groups, struct.pack(f"={len(links)}i", *[number(pair, len(self.pairs)) for pair in links])
             self.memo[window] = known
+            self.held += len(ids)
         return known
 
-    def _align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, tuple[int, ...]]:
+    def all_aligned(self, cut: list[Window]) -> list[tuple[str, bytes]]:
+        found = list(map(self.memo.get, cut))
+        return found if all(found) else [self.aligned(window) for window in cut]
+
+    def _align(self, a: tuple[int, ...], b: list[int]) -> tuple[str, list[int]]:
         (size_a, size_b), (name_a, name_b) = self.lengths, self.names
         groups, links, i, j, since_a, since_b = [], [], 0, 0, 0, 0
         last_a, last_b = len(a) - 1, len(b) - 1
@@ -106,54 +119,45 @@ class Windows:
                 other = name_b[b[j]] if j == since_b else ",".join([name_b[x] for x in b[since_b : j + 1]])
                 groups.append(one + "|" + other)
                 if i == last_a and j == last_b:
-                    return ";".join(groups), tuple(links)
+                    return ";".join(groups), links
                 since_a = i = i + 1
                 since_b = j = j + 1
                 left = size_a[a[i]] - size_b[b[j]]
 
 
 class Chunk:
-    """Documents gathered by a task, with their links as numbers of the chunk's different pairs."""
+    """Documents gathered by a task, with their links as numbers of pairs."""
 
     def __init__(self, chunk: int) -> None:
         self.chunk, self.tokens = chunk, 0
-        self.numbers: dict[Window, int] = {}
-        self.found: list[tuple[str, tuple[int, ...]]] = []  # groups and links of each window
-        self.pairs: dict[int, int] = {}
         self.rows: list[tuple] = []  # key, n_a, n_b, n_groups, n_links, digest, links, times
 
-    def number(self, window: Window, windows: Windows) -> int:
-        known = self.numbers.setdefault(window, len(self.found))
-        if known == len(self.found):
-            groups, links = windows.aligned(window)
-            self.found.append((groups, tuple([self.pairs.setdefault(pair, len(self.pairs)) for pair in links])))
-        return known
-
     def add(self, key, ids, windows: Windows) -> None:
         if ids is None:
-            none = np.zeros(0, np.int64)
+            none = np.zeros(0, np.int32)
             self.rows.append((key, 0, 0, 0, 0, "", none, none))
             return
-        cut = windows.cut(*ids)
-        numbers = list(map(self.numbers.get, cut))
-        if None in numbers:
-            numbers = [self.number(window, windows) for window in cut]
-        found = [self.found[n] for n in numbers]
+        found = windows.all_aligned(windows.cut(*ids))
         groups = ";".join([f[0] for f in found])
-        links = list(chain.from_iterable([f[1] for f in found]))
+        links = np.frombuffer(b"".join([f[1] for f in found]), np.int32)
         own, times = np.unique(links, return_counts=True)
         digest = hashlib.sha256(groups.encode()).hexdigest()
         self.rows.append((key, len(ids[0]), len(ids[1]), groups.count("|"), len(links), digest, own, times))
         self.tokens += len(ids[0]) + len(ids[1])
 
-    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """First the documents, then the pairs with their number and occurrences."""
-        seen = np.zeros(len(self.pairs), np.int64)
+    def batches(self, windows: Windows, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """First the documents, then the pairs that occur in them, numbered anew, with their occurrences."""
+        seen = np.zeros(len(windows.pairs), np.int64)
         for row in self.rows:
             seen[row[6]] += row[7]
+        used = np.flatnonzero(seen)
+        number = np.zeros(len(seen), np.int32)
+        number[used] = np.arange(len(used))
+        rows = [(*row[:6], number[row[6]], row[7]) for row in self.rows]
+        pairs = np.fromiter(windows.pairs, np.int64, len(seen))
         parts = [
-            (len(self.rows), dict(zip(schema.names[1:9], zip(*self.rows)))),
-            (len(self.pairs), {"number": range(len(self.pairs)), "pair": list(self.pairs), "seen": seen}),
+            (len(rows), dict(zip(schema.names[1:9], zip(*rows)))),
+            (len(used), {"number": number[used], "pair": pairs[used], "seen": seen[used]}),
         ]
         for size, columns in parts:
             own = {**columns, "chunk": [self.chunk] * size}
@@ -188,11 +192,13 @@ def chunks(docs: DataFrame, byte_level: str, sentence_pieces: str, key: str, tex
                 for own, ids in zip(keys[begin:end], windows.encode([t or "" for t in texts[begin:end]])):
                     chunk.add(own, ids, windows)
                     if chunk.tokens >= CHUNK_TOKENS:
-                        yield from chunk.batches(wanted)
+                        yield from chunk.batches(windows, wanted)
                         chunk = Chunk(chunk.chunk + 1)
+                        if windows.held > MEMO_TOKENS:
+                            windows.forget()
                 begin = end
         if chunk.rows:
-            yield from chunk.batches(wanted)
+            yield from chunk.batches(windows, wanted)
 
     return source.mapInArrow(run, schema)
 
@@ -261,8 +267,9 @@ def aligned_groups(docs: DataFrame, byte_level: str, sentence_pieces: str, key:
         for part in texts:
             found = []
             for ids in windows.encode([t or "" for t in part.to_pylist()]):
-                groups = [windows.aligned(w)[0] for w in windows.cut(*ids)] if ids else []
-                found.append(";".join(groups))
+                found.append(";".join([f[0] for f in windows.all_aligned(windows.cut(*ids))]) if ids else "")
+                if windows.held > MEMO_TOKENS:
+                    windows.forget()
             yield pa.array(found, pa.string())
 
     lines = F.arrow_udf(run, "string")("text")
