@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstate.operators.ordered import global_rank
+from turnstate.operators.ordered import HOT_ROWS, adjacent, global_rank
+from turnstate.session import shared_table
 
 # Retry suffix.
 RETRY_SUFFIXES = r"(-retry-\d{2})+$"
@@ -130,36 +131,53 @@ def base_run_id(run_id: Column) -> Column:
     return F.regexp_replace(run_id, RETRY_SUFFIXES, "")
 
 
-def retry_ids(positioned: DataFrame, existing: DataFrame) -> DataFrame:
+def retry_ids(
+    positioned: DataFrame, existing: DataFrame, *, max_rows: int = HOT_ROWS, saved: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Give each selected run the next free retry index at or above its position.
 
     Runs of the same base id take their index in order of position and never share one.
     With `free(x)` the number of free indexes below x, the k-th run of a base takes the
     free index of rank k + max over j <= k of (free(position_j) - j).
+
+    Used indexes and positions are merged into one sequence per base, and every figure is a
+    running count or maximum over it, so a base with any number of retries is cut into chunks.
+    Each pass reads the one before it as a written table: by `saved`, or in the shared folder.
     """
+    saved = saved or (lambda df: shared_table(df, "retries"))
     folder = F.regexp_replace("run_dir", r"/[^/]*$", "")
+    index = F.regexp_extract("run_id", r"-retry-(\d{2,})$", 1)
     used = existing.select(
         folder.alias("_root"),
         F.regexp_replace("run_id", r"-retry-\d{2,}$", "").alias("_base"),
-        F.regexp_extract("run_id", r"-retry-(\d{2,})$", 1).alias("_index"),
+        index.alias("_index"),
     ).filter(F.col("_index") != "")
-    used = used.groupBy("_root", "_base").agg(
-        F.array_sort(F.collect_set(F.col("_index").cast("bigint"))).alias("_used")
-    )
-    rows = positioned.withColumn("_root", folder).withColumn("_base", base_run_id(F.col("run_id")))
-    rows = rows.join(used, ["_root", "_base"], "left").withColumn(
-        "_used", F.coalesce("_used", F.array().cast("array<bigint>"))
+    used = saved(used.select("_root", "_base", F.col("_index").cast("bigint").alias("_at")).distinct())
+    base = ["_root", "_base"]
+    rows = positioned.select(
+        folder.alias("_root"), base_run_id(F.col("run_id")).alias("_base"), F.col("position").cast("bigint").alias("_at"),
+        F.struct(*positioned.columns).alias("_row"),
     )
-    by_base = Window.partitionBy("_root", "_base").orderBy("position")
-    upto = by_base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    free_below = F.col("position") - F.size(F.filter("_used", lambda e: e < F.col("position")))
-    rows = rows.withColumn("_free", free_below).withColumn("_k", F.row_number().over(by_base) - 1)
-    rows = rows.withColumn("_rank", F.col("_k") + F.max(F.col("_free") - F.col("_k")).over(upto))
-    gaps = F.transform("_used", lambda e, i: e - i)
-    slot = F.col("_rank") + F.size(F.filter(gaps, lambda g: g <= F.col("_rank")))
-    return rows.withColumn(
-        "retry_run_id", F.concat(F.col("_base"), F.lit("-retry-"), F.format_string("%02d", slot.cast("bigint")))
-    ).drop("_root", "_base", "_used", "_free", "_k", "_rank")
+    rows, taken = saved(rows), F.col("_row").isNull()
+
+    def merged(used: DataFrame, rows: DataFrame, used_first: bool, **running) -> DataFrame:
+        # Whether a used index counts for a position of the same value is a matter of their order.
+        side = lambda is_used: F.lit(0 if is_used == used_first else 1).alias("_side")
+        both = rows.select("*", side(False)).unionByName(used.select("*", side(True)), allowMissingColumns=True)
+        both = both.withColumn("_tie", F.col("_row.run_id"))
+        return adjacent(both, base, ["_at", "_side", "_tie"], max_rows=max_rows, **running).drop("_side", "_tie")
+
+    both = saved(merged(used, rows, False, counts={"_below": taken, "_k": ~taken}))
+    # Used indexes on the scale of free ones: how many free indexes lie below each.
+    gaps = both.filter(taken).select(*base, (F.col("_at") - F.col("_below") + 1).alias("_at"))
+    lead = F.col("_at") - F.col("_below") - F.col("_k")
+    rows = both.filter(~taken).select(*base, "_at", "_row", "_k", lead.alias("_lead"))
+    rows = adjacent(rows, base, ["_at", "_k"], highest={"_most": F.col("_lead")}, max_rows=max_rows)
+    rows = saved(rows.select(*base, (F.col("_k") + F.col("_most")).alias("_at"), "_row"))
+    slot = merged(gaps, rows, True, counts={"_filled": taken}).filter(~taken)
+    number = F.format_string("%02d", F.col("_at") + F.col("_filled"))
+    named = slot.withColumn("retry_run_id", F.concat(F.col("_base"), F.lit("-retry-"), number))
+    return named.select("_row.*", "retry_run_id")
 
 
 def retry_worklist(

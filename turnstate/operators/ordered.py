@@ -13,7 +13,7 @@ it. Two forms:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,10 +81,14 @@ def adjacent(
     previous: Sequence[str] = (),
     following: Sequence[str] = (),
     counted: Column | None = None,
+    counts: Mapping[str, Column] = {},
+    highest: Mapping[str, Column] = {},
     max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add `previous` / `following` structs of the neighbour rows of the same key, and
-    `counted`, the running number of rows (this one included) for which that column holds."""
+    `counted`, the running number of rows (this one included) for which that column holds.
+    `counts` names further running numbers, `highest` running maxima."""
+    counts = {**counts, **({} if counted is None else {"counted": counted})}
     order = F.struct(*order_by)
     chunked = split_hot_keys(df, keys, order, max_rows=max_rows)
     edges = []
@@ -92,8 +96,8 @@ def adjacent(
         edges.append(F.max_by(F.struct(*previous), order).alias("_tail"))
     if following:
         edges.append(F.min_by(F.struct(*following), order).alias("_head"))
-    if counted is not None:
-        edges.append(F.count_if(counted).alias("_count"))
+    edges += [F.count_if(c).alias(f"_run_{n}") for n, c in counts.items()]
+    edges += [F.max(c).alias(f"_run_{n}") for n, c in highest.items()]
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     summary = chunked.filter("_hot").groupBy(*keys, "_chunk").agg(*edges)
     carried = [*keys, "_chunk"]
@@ -101,9 +105,9 @@ def adjacent(
         carried.append(F.lag("_tail").over(by_chunk).alias("_tail"))
     if following:
         carried.append(F.lead("_head").over(by_chunk).alias("_head"))
-    if counted is not None:
-        earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-        carried.append(F.sum("_count").over(earlier).alias("_count"))
+    earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    carried += [F.sum(f"_run_{n}").over(earlier).alias(f"_run_{n}") for n in counts]
+    carried += [F.max(f"_run_{n}").over(earlier).alias(f"_run_{n}") for n in highest]
     rows = chunked.join(F.broadcast(summary.select(*carried)), [*keys, "_chunk"], "left")
 
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_by)
@@ -112,9 +116,12 @@ def adjacent(
         added["previous"] = F.coalesce(F.lag(F.struct(*previous)).over(inside), F.col("_tail"))
     if following:
         added["following"] = F.coalesce(F.lead(F.struct(*following)).over(inside), F.col("_head"))
-    if counted is not None:
-        upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        added["counted"] = F.coalesce(F.col("_count"), F.lit(0)) + F.count_if(counted).over(upto)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for name, column in counts.items():
+        added[name] = F.coalesce(F.col(f"_run_{name}"), F.lit(0)) + F.count_if(column).over(upto)
+    for name, column in highest.items():
+        # The larger of what earlier chunks and this one hold; nulls do not count.
+        added[name] = F.greatest(F.col(f"_run_{name}"), F.max(column).over(upto))
     return rows.select(*df.columns, *[c.alias(n) for n, c in added.items()])
 
 

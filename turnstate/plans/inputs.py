@@ -254,6 +254,26 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=16)
+def crowded_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A run per order: a third of them retries of one run, the others of a run per customer.
+
+    Failed runs carry their number as a chain of two-digit retries, the others as one index.
+    """
+    o = table(spark, sf, "orders")
+    base = F.when(F.col("o_orderkey") % 3 == 0, "r-hot").otherwise(F.concat(F.lit("r-"), F.col("o_custkey").cast("string")))
+    number = F.col("o_orderkey").cast("string")
+    chain = F.regexp_replace(F.lpad(number, 12, "0"), "(..)", "-retry-$1")
+    single = F.concat(F.lit("-retry-"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
+    failed = F.col("o_orderstatus") == "F"
+    return o.select(
+        F.concat(base, F.when(failed, chain).otherwise(single)).alias("run_id"),
+        F.lit("/runs/all").alias("run_dir"),
+        F.when(failed, "failed").otherwise("completed").alias("status"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"),
+    )
+
+
 @lru_cache(maxsize=16)
 def dataset_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items of four datasets from customers, one per dataset and interaction."""

@@ -671,6 +671,31 @@ ORACLE: dict[str, str] = {
 ORACLE["event_delta_profile"] = f"""SELECT user_id, count(*) AS steps, count(delta) AS defined, round(avg(delta), 9) AS mean_delta
   FROM ({ORACLE['event_deltas']}) GROUP BY ALL"""
 ORACLE["stream_event_deltas"] = ORACLE["event_deltas"]
+ORACLE["stream_resume_labels"] = f"""{WITH_RULES}, {STORED}
+  SELECT interaction_id, turn_number, {', '.join(f'r.{f}' for f in FIELDS)}, CASE WHEN reusable THEN 0 ELSE 1 END AS batch
+  FROM rules r JOIN marked USING (interaction_id, turn_number)"""
+# The next free index for every run of a base: running figures over used indexes and positions.
+_slots = """slots AS (
+  SELECT o.*, o.rank + coalesce(g.n, 0) AS slot FROM (
+    SELECT *, k + max(position - below - k) OVER (PARTITION BY base ORDER BY position) AS rank FROM (
+      SELECT f.*, coalesce(u.n, 0) AS below, row_number() OVER (PARTITION BY f.base ORDER BY f.position) AS k
+      FROM failing f ASOF LEFT JOIN numbered u ON f.base = u.base AND f.position > u.u)) o
+  ASOF LEFT JOIN (SELECT base, u - n + 1 AS gap, max(n) AS n FROM numbered GROUP BY ALL) g ON o.base = g.base AND o.rank >= g.gap)"""
+_numbered = "numbered AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY u) AS n FROM used)"
+_retry = "base || '-retry-' || lpad(slot::VARCHAR, greatest(2, length(slot::VARCHAR))::INT, '0') AS retry_run_id"
+ORACLE["retry_ids_hot_base"] = f"""WITH all_runs AS (
+    SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'r-hot' ELSE 'r-' || o_custkey END AS base,
+      strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS updated_at FROM orders),
+  used AS (SELECT DISTINCT base, o_orderkey::BIGINT AS u FROM all_runs WHERE o_orderstatus <> 'F'), {_numbered},
+  named AS (SELECT *, base || regexp_replace(lpad(o_orderkey::VARCHAR, 12, '0'), '(..)', '-retry-\\1', 'g') AS run_id
+    FROM all_runs WHERE o_orderstatus = 'F'),
+  failing AS (SELECT *, row_number() OVER (ORDER BY updated_at DESC, run_id) AS position FROM named), {_slots}
+  SELECT run_id, position, {_retry} FROM slots"""
+ORACLE["retry_worklist_new_ids"] = f"""WITH {LOG},
+  used AS (SELECT DISTINCT base, substr(run_id, length(base) + 8)::BIGINT AS u FROM runs WHERE run_id <> base), {_numbered},
+  failing AS (SELECT *, row_number() OVER (ORDER BY updated_at DESC, run_id, catalog_scenario_id NULLS FIRST, catalog_blueprint_id NULLS FIRST) AS position
+    FROM joined WHERE status = 'failed' AND dataset_id = 'd-1'), {_slots}
+  SELECT position, run_id AS original_run_id, {_retry}, track_name, input_path FROM slots"""
 
 
 # --- evaluation against the embedded labels

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +27,14 @@ from turnstate.operators.quality import quality_gate
 from turnstate.plans import inputs as IN
 from turnstate.plans import jobs as J
 from turnstate.schemas import FIELDS, INTERACTION
-from turnstate.session import CHECKPOINT_KEY, checkpoint_root
+from turnstate.session import shared_folder
 from turnstate.sinks.tables import preview
 from turnstate.sources import documents as DOC
-from turnstate.streaming.incremental import delta_stream
+from turnstate.streaming.repaired import current_steps, repaired_steps, resume_labels, stored_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EVENT_SCALE = ["view", "click", "purchase"]
+STREAM_BUCKETS = 16  # the given tables are small
 DIGITS = 9
 
 
@@ -593,15 +592,6 @@ def regression_top_items(spark, sf):
     return _rounded(CMP.top_items(_benchmark_items(spark, sf)).select("interaction_id", "scenario_id", "rate"), "rate")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a written table, in the shared folder of the session."""
-    # Only a local session may do without the setting: its driver and executors are one machine.
-    unset = spark.conf.get(CHECKPOINT_KEY, None) is None and spark.sparkContext.master.startswith("local")
-    unset = unset and not spark.sparkContext.master.startswith("local-cluster")
-    fallback = tempfile.mkdtemp(prefix="turnstate-") if unset else None
-    return f"{checkpoint_root(spark, fallback)}/{name}-{os.urandom(6).hex()}"
-
-
 # --- Naive Bayes
 
 DOC_CLASSES = {"quality": ["0", "1"], "toxic": ["0", "1"]}
@@ -644,7 +634,7 @@ def nb_classes(spark, sf):
 
 @query
 def nb_score(spark, sf):
-    model = J.train_bayes(_training_documents(spark, sf), _folder(spark, "nb-documents"), classes=DOC_CLASSES)
+    model = J.train_bayes(_training_documents(spark, sf), shared_folder(spark, "nb-documents"), classes=DOC_CLASSES)
     labelled = IN.table(spark, sf, "labels").filter(digit(IN._digest("train", F.col("doc_id")), 0, 2) == 0)
     rest = IN.table(spark, sf, "documents").select("doc_id", "text").join(
         labelled.select("doc_id"), "doc_id", "left_anti"
@@ -666,7 +656,7 @@ def nb_turn_labels(spark, sf):
         digit(IN._digest("train", F.col("interaction_id"), F.col("turn_number")), 0, 2) == 0
     )
     texts = examples.withColumn("text", F.concat_ws(" ", "human_input", "ai_response"))
-    model = J.train_bayes(texts, _folder(spark, "nb-turns"))
+    model = J.train_bayes(texts, shared_folder(spark, "nb-turns"))
     return B.bayes_labels(IN.turns(spark, sf), model).select(
         "interaction_id", "turn_number", *FIELDS, _levels().alias("levels"),
         F.get("evidence_spans", F.lit(0))["text"].alias("evidence"), "observer_confidence",
@@ -996,6 +986,20 @@ def retry_ids(spark, sf):
     return named.select("run_id", "position", "retry_run_id")
 
 
+@query
+def retry_ids_hot_base(spark, sf):
+    """A third of all runs share one base, and its used indexes grow with the orders."""
+    runs = IN.crowded_runs(spark, sf)
+    named = CAT.retry_ids(CAT.run_list_position(CAT.matching(runs, status="failed")), runs)
+    return named.select("run_id", "position", "retry_run_id")
+
+
+@query
+def retry_worklist_new_ids(spark, sf):
+    rows = CAT.retry_worklist(_runs(spark, sf), IN.dataset_items(spark, sf), dataset_id="d-1")
+    return rows.select("position", "original_run_id", "retry_run_id", "track_name", "input_path")
+
+
 @query
 def retry_worklist(spark, sf):
     rows = CAT.retry_worklist(_runs(spark, sf), IN.dataset_items(spark, sf), reuse_run_id=True, dataset_id="d-1")
@@ -1057,21 +1061,35 @@ def progress_turns(spark, sf):
 
 @query
 def stream_event_deltas(spark, sf):
-    """`event_deltas` from a file stream with kept state; the output is a written table."""
-    base = _folder(spark, "event-deltas")
-    schema = IN.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    steps = delta_stream(
-        stream, key="user_id", key_type="bigint", order_by=[("ts", "timestamp"), ("event_id", "bigint")],
-        value="event_type", ordered=EVENT_SCALE,
-    )
-    running = (
-        steps.writeStream.format("parquet").option("path", f"{base}/table")
-        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    done = spark.read.parquet(f"{base}/table")
-    return done.filter(~F.col("late")).select("user_id", "from_event_id", "to_event_id", "delta")
+    """`event_deltas` from a stream of three files, each with rows that belong between earlier ones."""
+    base, order = shared_folder(spark, "event-deltas"), ["ts", "event_id"]
+    events = IN.table(spark, sf, "events")
+    for arrival in range(3):
+        part = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == arrival)
+        part.write.mode("append").parquet(f"{base}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+        repaired_steps(
+            stream, f"{base}/deltas", f"{base}/checkpoint", key="user_id", order_by=order, value="event_type",
+            ordered=EVENT_SCALE, buckets=STREAM_BUCKETS,
+        )
+    done = current_steps(spark, f"{base}/deltas", events.schema, "user_id", order)
+    return done.select("user_id", "from_event_id", "to_event_id", "delta")
+
+
+@query
+def stream_resume_labels(spark, sf):
+    """Rule labels of all turns after a stream of the stored and then the current texts."""
+    base, key = shared_folder(spark, "resume-labels"), ["interaction_id", "turn_number", "human_input", "ai_response"]
+    track = lambda turns: L.rule_labels(turns, IN.RULE_PHRASES).select(*key, *FIELDS)
+    arrivals = [_stored(spark, sf).drop("seq"), IN.turns(spark, sf)]
+    kinds = arrivals[0].select(*key).schema
+    labels = T.StructType([*kinds.fields, *[T.StructField(f, T.StringType()) for f in FIELDS]])
+    for turns in arrivals:
+        turns.select(*key).write.mode("append").parquet(f"{base}/turns")
+        stream = spark.readStream.schema(kinds).parquet(f"{base}/turns")
+        resume_labels(stream, f"{base}/labels", track, labels, f"{base}/checkpoint", buckets=STREAM_BUCKETS)
+    done = stored_labels(spark, f"{base}/labels", labels)
+    return done.select("interaction_id", "turn_number", *FIELDS, F.col("seq").alias("batch"))
 
 
 # --- evaluation against the embedded labels
