@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstate.operators import catalog, states
+from turnstate.operators import catalog, labels, states
+from turnstate.plans import jobs
+from turnstate.sinks import tables
 from turnstate.sinks.versions import Versions, bucket_of, publish
 from turnstate.streaming import repaired
 
@@ -60,8 +62,7 @@ def arrive(spark, base, data, **options):
     return repaired.current_steps(spark, f"{base}/out", SCHEMA, "k", ["at"])
 
 
-@pytest.mark.parametrize("segments", [2, 100])
-def test_late_rows_are_repaired(spark, rows, tmp_path, segments):
+def test_late_rows_are_repaired(spark, rows, tmp_path, segments=2):
     batches = [
         [("a", 2, "hi"), ("a", 9, "lo"), ("b", 1, "odd"), (None, 5, "lo")],
         [("a", 5, "mid"), ("b", 3, "hi"), ("a", 9, "lo"), (None, 4, "hi")],  # one row again
@@ -76,7 +77,7 @@ def test_late_rows_are_repaired(spark, rows, tmp_path, segments):
         assert rows(got.select(*want.columns)) == rows(want)
     store = Versions(spark, str(tmp_path / "out"))
     per_bucket = [p.bucket for p in store.current().of("rows")]
-    assert max(per_bucket.count(b) for b in per_bucket) <= max(segments, 4)
+    assert max(per_bucket.count(b) for b in per_bucket) <= segments
 
 
 def test_rows_behind_the_horizon_are_set_aside(spark, rows, tmp_path):
@@ -150,3 +151,81 @@ def test_retry_ids_of_a_hot_base_in_chunks(spark, max_rows):
         want[run_id] = f"{base}-retry-{at:02d}"
         taken.add(want[run_id])
     assert got == want
+
+
+# --- whole runs, publications and the run catalog
+
+CLOCK = "2026-01-01T00:00:00Z"
+TURN = "interaction_id string, context_module string, pos int, turn_number int, human_input string, ai_response string"
+
+
+@pytest.fixture(scope="module")
+def talks(spark):
+    turns = spark.createDataFrame([(i, "general", n, n, t, "ok") for i in ("a", "b") for n, t in enumerate(["compare x and y", "you decide"])]
+                                  + [("short", "general", 0, 0, "hello", "ok")], TURN)
+    people = turns.select("interaction_id", "context_module", F.lit("h").alias("human_id"), F.lit("m").alias("ai_id")).distinct()
+    return people, turns
+
+
+def test_a_run_is_read_whole_or_not_at_all(spark, talks, tmp_path, monkeypatch):
+    out, write = str(tmp_path / "run"), tables.write_table
+    job = lambda: jobs.run_extraction(*talks, labels.rule_labels, out=out, run_id="r", run_clock=CLOCK)
+    read = lambda name="states": tables.committed_run(spark, out, "r", name)
+
+    def dies_at(name):
+        def run(df, path, **options):
+            if path.endswith(name):
+                raise RuntimeError("killed")
+            return write(df, path, **options)
+        return run
+
+    for name in ("/extracts", "/run_manifests"):
+        monkeypatch.setattr(tables, "write_table", dies_at(name))
+        with pytest.raises(RuntimeError, match="killed"):
+            job()
+        assert spark.read.parquet(f"{out}/states").count() == 4
+        with pytest.raises(LookupError):
+            read()
+    monkeypatch.setattr(tables, "write_table", write)
+    job()
+    assert read().count() == 4 and read("run_errors").count() == 1 and read("run_manifests").count() == 3
+    monkeypatch.setattr(tables, "write_table", dies_at("/deltas"))
+    with pytest.raises(RuntimeError, match="killed"):
+        job()
+    with pytest.raises(LookupError):  # its states are new and its deltas old
+        read()
+
+
+def test_a_publication_that_dies_is_not_read(spark, rows, tmp_path, monkeypatch):
+    target = str(tmp_path / "pub")
+    items = lambda v: spark.createDataFrame([("i", v), ("j", v)], "item_id string, v int")
+    give = lambda v: tables.publish_if_complete(spark, items(v), staging=str(tmp_path / "staging"), target_path=target, target_count=2)
+    with pytest.raises(LookupError):
+        tables.published(spark, target)
+    give(1)
+    commit = Versions.commit
+    monkeypatch.setattr(Versions, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError, match="killed"):
+        give(2)
+    # Part of a version, as an interrupted job commit leaves it.
+    items(9).limit(1).withColumn("version", F.lit(3)).write.mode("append").partitionBy("version").parquet(target)
+    assert rows(tables.published(spark, target)) == [("i", 1), ("j", 1)]
+    monkeypatch.setattr(Versions, "commit", commit)
+    give(4)
+    assert rows(tables.published(spark, target)) == [("i", 4), ("j", 4)]
+
+
+def test_a_dataset_run_fills_the_catalog_that_retries_start_from(spark, talks, rows, tmp_path):
+    items = spark.createDataFrame([("d", k, i, "s", "train", f"in/{i}.json") for k, i in enumerate(["a", "short", "gone"])],
+                                  "dataset_id string, seq int, interaction_id string, scenario_id string, split string, relative_path string")
+    out = str(tmp_path / "ds")
+    jobs.run_dataset(items, *talks, labels.rule_labels, track_name="t", out=out, run_clock=CLOCK)
+    log = spark.read.parquet(f"{out}/runs")
+    assert rows(log.groupBy("status").count()) == [("completed", 1), ("failed", 2), ("running", 3)]
+    runs = catalog.latest(log, ["run_id"])
+    assert rows(runs.select("run_id", "status", "error_message", "input_path")) == [
+        ("t-a", "completed", None, "in/a.json"), ("t-gone", "failed", "not_extracted", "in/gone.json"),
+        ("t-short", "failed", "contract:too_few_turns", "in/short.json")]
+    work = catalog.retry_worklist(runs, items.select("dataset_id", "interaction_id", "scenario_id", F.lit(None).cast("string").alias("blueprint_id"), "seq"))
+    assert rows(work.select("original_run_id", "retry_run_id", "input_path")) == [
+        ("t-gone", "t-gone-retry-01", "in/gone.json"), ("t-short", "t-short-retry-02", "in/short.json")]

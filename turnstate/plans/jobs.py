@@ -21,6 +21,7 @@ from turnstate.sinks import tables
 from turnstate.sources.documents import flatten_turns, read_interactions, read_model
 
 Track = Callable[[DataFrame], DataFrame]
+RUN_TABLES = ("states", "deltas", "overlays", "extracts", "trajectories", "run_errors", "run_manifests")
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,13 @@ def extract(
 def run_extraction(
     interactions: DataFrame, turns: DataFrame, track: Track, *, out: str, run_id: str, run_clock: str,
 ) -> DataFrame:
-    """Run one track and write every output table under `out`; returns the manifest."""
+    """Run one track and write every output table under `out`; returns the manifest.
+
+    The run is committed when all its tables are there: `tables.committed_run` reads it then, and
+    not while it is written, for the first time or again.
+    """
+    spark = interactions.sparkSession
+    tables.withdraw_run(spark, out, run_id)
     tagged = lambda df: df.withColumn("run_id", F.lit(run_id))
     saved = lambda df: tables.write_table(df, f"{out}/labels/{run_id}")
     run = extract(interactions, turns, track, run_clock=run_clock, saved=saved)
@@ -115,7 +122,9 @@ def run_extraction(
     )
     failures = run.errors.join(tried, ["interaction_id", "pos"], "left")
     tables.write_table(tagged(failures), f"{out}/run_errors", partitions=("run_id",))
-    return tables.write_table(tagged(run.manifest), f"{out}/run_manifests", partitions=("run_id",))
+    manifest = tables.write_table(tagged(run.manifest), f"{out}/run_manifests", partitions=("run_id",))
+    tables.commit_run(spark, out, run_id, RUN_TABLES)
+    return manifest
 
 
 def slice_items(
@@ -127,6 +136,28 @@ def slice_items(
     return rows if max_items is None else rows.orderBy("seq").limit(max_items)
 
 
+def catalog_rows(items: DataFrame, *, track_name: str, dataset_run_id: str, out: str, run_clock: str) -> DataFrame:
+    """One catalog row per item, `running`: what a run is known by before anything has come of it.
+
+    `seq` is 0 here and 1 in `ended_runs`, so of two rows with one clock the end is the latest.
+    """
+    run_id = F.concat_ws("-", F.lit(track_name), F.col("interaction_id"))
+    known = lambda name: F.col(name) if name in items.columns else F.lit(None).cast("string")
+    return items.select(
+        run_id.alias("run_id"), "interaction_id", known("dataset_id").alias("dataset_id"),
+        F.lit(dataset_run_id).alias("dataset_run_id"), F.lit(track_name).alias("track_name"),
+        known("relative_path").alias("input_path"), F.concat(F.lit(f"{out}/runs/"), run_id).alias("run_dir"),
+        F.lit("running").alias("status"), F.lit(None).cast("string").alias("error_message"),
+        F.lit(run_clock).alias("created_at"), F.lit(run_clock).alias("updated_at"), F.lit(0).cast("bigint").alias("seq"),
+    )
+
+
+def ended_runs(runs: DataFrame, ended: DataFrame) -> DataFrame:
+    """The catalog rows of runs with how they ended: (interaction_id, status, error_message)."""
+    rows = runs.drop("status", "error_message").join(ended, "interaction_id")
+    return rows.withColumn("seq", F.col("seq") + 1).select(*runs.columns)
+
+
 def run_dataset(
     items: DataFrame, interactions: DataFrame, turns: DataFrame, track: Track, *, track_name: str,
     out: str, run_clock: str, split: str | None = None, scenario_id: str | None = None,
@@ -139,6 +170,8 @@ def run_dataset(
     text = lambda v: F.lit(v).cast("string")
     identity = dataset_run_id(text(out), text(track_name), text(split), text(scenario_id), text(max_items))
     run_id = spark.range(1).select(identity.alias("id")).first()["id"]
+    runs = catalog_rows(chosen, track_name=track_name, dataset_run_id=run_id, out=out, run_clock=run_clock)
+    tables.append_log(runs, f"{out}/runs")
     manifest = run_extraction(
         interactions.join(ids, "interaction_id", "left_semi"),
         turns.join(ids, "interaction_id", "left_semi"),
@@ -148,6 +181,10 @@ def run_dataset(
         "status", F.coalesce("status", F.lit("failed"))
     ).withColumn("dataset_run_id", F.lit(run_id)).withColumn("track_name", F.lit(track_name))
     stored = tables.write_table(rows, f"{out}/run_items", partitions=("dataset_run_id",))
+    ended = stored.filter(F.col("dataset_run_id") == run_id).select(
+        "interaction_id", "status", F.coalesce("error", F.when(F.col("status") == "failed", "not_extracted")).alias("error_message")
+    )
+    tables.append_log(ended_runs(runs, ended), f"{out}/runs")
     counts = dataset_run_counts(stored.filter(F.col("dataset_run_id") == run_id), ["dataset_run_id"])
     empty = spark.range(1).select(
         F.lit(run_id).alias("dataset_run_id"), F.lit(0).cast("bigint").alias("item_count"),

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnstate.operators.bayes import Model, Scoring
 from turnstate.operators.bayes import frequent as bayes_frequent
+from turnstate.sinks.versions import Part, Versions
 from turnstate.sources.documents import MODEL_VERSION
 
+# Manifests of published tables and runs; Spark leaves such folders out when it reads the table.
+COMMITS = "_commits"
+
 
 def write_lines(df: DataFrame, path: str) -> None:
     """JSON lines; null members are left out."""
@@ -93,8 +100,9 @@ def publish_if_complete(
 ) -> int:
     """Write to staging, count there, and publish only a complete dataset.
 
-    Each publication is a new folder `version=n` beside the earlier ones, so one that fails
-    half way takes nothing away; `published` reads the newest. Raises when items are missing;
+    Each publication is a new folder `version=n` beside the earlier ones, and a manifest written
+    after it names that folder. `published` opens what the newest manifest names, so a publication
+    that fails at any point shows nothing and takes nothing away. Raises when items are missing;
     the staged items stay for the next attempt.
     """
     staged = write_table(items, staging)
@@ -104,16 +112,49 @@ def publish_if_complete(
             f"dataset generation incomplete: accepted={accepted}, target={target_count}"
         )
     before = read_log(spark, target_path)
-    newest = None if before is None else before.agg(F.max("version")).first()[0]
-    staged.withColumn("version", F.lit((newest or 0) + 1)).write.mode("append").partitionBy("version").parquet(target_path)
+    newest = (None if before is None else before.agg(F.max("version")).first()[0]) or 0
+    staged.withColumn("version", F.lit(newest + 1)).write.mode("append").partitionBy("version").parquet(target_path)
+    store = Versions(spark, f"{target_path}/{COMMITS}")
+    store.commit(store.current(), [Part("items", f"{target_path}/version={newest + 1}")], rows=accepted)
     return accepted
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    """The newest publication."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("version")).first()[0]
-    return rows.filter(F.col("version") == newest).drop("version")
+    """The newest committed publication; an error before the first."""
+    current = Versions(spark, f"{path}/{COMMITS}").current()
+    if not current.parts:
+        raise LookupError(f"nothing is published under {path}")
+    return spark.read.parquet(current.parts[0].path)
+
+
+def run_name(run_id: str) -> str:
+    """The name that a run's parts have in the manifest of its folder."""
+    return f"run:{run_id}"
+
+
+def withdraw_run(spark: SparkSession, out: str, run_id: str) -> None:
+    """Take a run out of the manifest before its tables are written again."""
+    store = Versions(spark, f"{out}/{COMMITS}")
+    at = store.current()
+    if at.of(run_name(run_id)):
+        store.commit(at, at.without(run_name(run_id)))
+
+
+def commit_run(spark: SparkSession, out: str, run_id: str, names: Sequence[str]) -> None:
+    """Make the tables of a run visible to `committed_run`, all at once."""
+    store = Versions(spark, f"{out}/{COMMITS}")
+    at = store.current()
+    parts = [Part(run_name(run_id), f"{out}/{name}") for name in names]
+    store.commit(at, [*at.without(run_name(run_id)), *parts])
+
+
+def committed_run(spark: SparkSession, out: str, run_id: str, name: str, schema: StructType | None = None) -> DataFrame:
+    """A table of a run, which must be committed: a run that is being written is not read."""
+    parts = Versions(spark, f"{out}/{COMMITS}").current().of(run_name(run_id))
+    if f"{out}/{name}" not in [p.path for p in parts]:
+        raise LookupError(f"run {run_id} has no committed table {name} under {out}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{out}/{name}").filter(F.col("run_id") == run_id)
 
 
 def preview(items: DataFrame, turns: DataFrame, *, max_items: int = 6) -> DataFrame:
