@@ -21,14 +21,14 @@ node{level} AS (
 ),
 chosen{level} AS (
   SELECT k.host, k.template, k.child,
-    CASE WHEN kids = 1 THEN child
-      WHEN NOT (urls >= 20 AND urls >= 0.01 * all_urls) THEN '*'
+    CASE WHEN kids = 1 THEN literal
+      WHEN urls < 20 THEN '*'
       WHEN labelled > 0 AND all_labelled - labelled > 0
         AND abs(bad / labelled - (all_bad - bad) / (all_labelled - labelled))
           > 1.96 * sqrt((all_bad / all_labelled) * (1 - all_bad / all_labelled)
-            * (1 / labelled + 1 / (all_labelled - labelled))) THEN child
+            * (1 / labelled + 1 / (all_labelled - labelled))) THEN literal
       ELSE '+' END AS branch
-  FROM kid{level} k JOIN node{level} n ON k.host = n.host AND k.template = n.template
+  FROM (SELECT *, CASE WHEN left(child, 1) IN ('*', '+', chr(92)) THEN chr(92) || child ELSE child END AS literal FROM kid{level}) k JOIN node{level} n ON k.host = n.host AND k.template = n.template
 ),
 tree{level} AS (
   SELECT t.host, t.masked, t.segments, t.urls, t.labelled, t.bad,

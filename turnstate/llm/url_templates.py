@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from turnstate.llm.tables import stored
 
 LEVELS = 8  # segments below share one tail wildcard
-MIN_ROWS, MIN_SHARE = 20, 0.01  # support that a segment needs for a branch of its own
+MIN_ROWS = 20  # urls that a segment needs for a branch of its own, however many its siblings have
 SIMILAR_Z = 1.96  # below: two branches do not differ
 PRIOR_ROWS = 20  # weight of the overall share in the smoothed purity
 MIN_PURITY = 0.7
@@ -75,10 +75,9 @@ def _grown(tree: DataFrame, level: int) -> DataFrame:
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
     apart = F.abs(share - (F.col("all_bad") - F.col("bad")) / rest)
     differs = F.when((F.col("labelled") > 0) & (rest > 0), apart > SIMILAR_Z * error).otherwise(False)
-    supported = (F.col("urls") >= MIN_ROWS) & (F.col("urls") >= MIN_SHARE * F.col("all_urls"))
-    branch = (
-        F.when(F.col("kids") == 1, F.col("child")).when(~supported, "*").when(differs, F.col("child")).otherwise("+")
-    )
+    # A segment that looks like a wildcard is written with a mark before it.
+    child = F.when(F.col("child").rlike(r"^[\\*+]"), F.concat(F.lit("\\"), "child")).otherwise(F.col("child"))
+    branch = F.when(F.col("kids") == 1, child).when(F.col("urls") < MIN_ROWS, "*").when(differs, child).otherwise("+")
     chosen = kids.join(nodes, ["host", "template"]).select("host", "template", "child", branch.alias("branch"))
     grown = tree.join(chosen, ["host", "template", "child"], "left")
     template = F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat_ws("/", F.nullif(F.col("template"), F.lit("\u0000")), "branch"))
