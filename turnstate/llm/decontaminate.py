@@ -22,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +154,8 @@ def sketches(idf: np.ndarray, start: np.ndarray) -> Callable:
         for _, documents in (part for batch in batches for part in parts(batch)):
             for _, terms, dense in blocks_of(*Passages(documents, idf > 0).weighted(idf)):
                 total[terms] += dense.T @ (dense @ start[terms])
-        salt = int(np.random.default_rng().integers(SALTS))
+        # The same for a task that runs again, so that its pieces go where they went before.
+        salt = TaskContext.get().partitionId() % SALTS
         pieces = range(0, len(total), TERM_ROWS)
         yield pd.DataFrame({"piece": list(pieces), "salt": salt, "data": [total[p : p + TERM_ROWS].tobytes() for p in pieces]})
 
