@@ -21,12 +21,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-DOCS, LINES, WINDOW = 300, 12_000, 64  # sample: texts per language, lines in all, words of a run
-LINE_WORDS = 400  # words of a sample line that are kept
+DOCS, LINES, WINDOW = 300, 3_000, 64  # sample: texts and lines per language, words of a run
+LINE_WORDS = 400  # a longer line of the sample counts as several
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
 LEXICON = 200  # most frequent words of a language in the sample
@@ -162,7 +162,10 @@ def fit_sequences(sequences: list[list[str]], tags: list[np.ndarray], labels: li
 
 def sample_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(label, " ".join(words[:LINE_WORDS])) for text, label in zip(batch["text"], batch["label"]) for words in lines_of(text)]
+        rows = [
+            (label, " ".join(words[k : k + LINE_WORDS]))
+            for text, label in zip(batch["text"], batch["label"]) for words in lines_of(text) for k in range(0, len(words), LINE_WORDS)
+        ]
         yield pd.DataFrame(rows, columns=["label", "words"])
 
 
@@ -170,7 +173,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     """The model for the labelled rows of `docs`, or None without any.
 
     Rows with a null text or label are not used. The sample is the DOCS rows of the smallest
-    key hashes per language; only its lines, LINES in all, reach the driver.
+    key hashes per language; only its lines, LINES per language, reach the driver. So a language
+    is learned from its own rows, however many others there are and however long their texts.
     """
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     place = F.expr(f"row_number() over (partition by `{label}` order by xxhash64(`{key}`), `{key}`)")
@@ -178,7 +182,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     chosen = F.broadcast(chosen.select(F.col(key).alias("key")).distinct())  # DOCS short rows per language
     texts = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).join(chosen, "key", "left_semi")
     lines = texts.mapInPandas(sample_lines, "label string, words string")
-    lines = lines.orderBy(F.xxhash64("words"), "words", "label").limit(LINES).collect()
+    by_label = Window.partitionBy("label").orderBy(F.xxhash64("words"), "words")
+    lines = lines.withColumn("place", F.row_number().over(by_label)).filter(F.col("place") <= LINES)
+    lines = lines.orderBy(F.xxhash64("words"), "words", "label").collect()
     labels = sorted({r["label"] for r in lines})
     if not labels:
         return None
