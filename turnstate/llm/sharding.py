@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstate.llm.tables import stored
@@ -87,22 +87,27 @@ def assign(docs: DataFrame, limit: int, keys: tuple[str, ...] = ("doc_id", "text
     values like any other. An existing column `shard` is replaced.
     """
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    keyed = docs.drop("shard").select("*", F.struct(hash_bits(*keys).alias("bits"), size.alias("bytes")).alias("shard"))
-    result = keyed
+    kept = [c for c in docs.columns if c != "shard"]
+    # Everything of the input stays inside `row`, so no name of it can clash with one used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    result = docs.select(row, hash_bits(*keys).alias("bits"), size.alias("bytes"), F.spark_partition_id().alias("source"))
     rounds = directories(docs.select(hash_bits(*keys).alias("bits"), size.alias("bytes")), limit)
     for depth, directory in rounds:
-        entry = directory.select(
-            F.col("cell").alias("__cell"), F.struct("level", "prefix", "parts").alias("__entry" + str(depth))
-        )
-        result = result.withColumn("__cell", F.shiftright("shard.bits", BITS - depth)).join(entry, "__cell", "left")
-    entry = F.coalesce(*[F.col("__entry" + str(depth)) for depth, _ in rounds])
-    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), entry["parts"])
-    bits = F.when(F.col("__e.level") > 0, F.expr("lpad(bin(__e.prefix), cast(__e.level as int), '0')")).otherwise("")
-    name = F.when(F.col("__e.parts") > 1, F.concat(bits, F.lit("#"), F.col("__part"))).otherwise(bits)
-    return result.withColumn("__e", entry).withColumn("__part", part).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "shard"],
-        F.struct(name.alias("name"), F.col("__e.level").cast("long").alias("level"), F.col("shard.bytes").alias("bytes")).alias("shard"),
-    )
+        entry = directory.select(F.col("cell").alias("own"), F.struct("level", "prefix", "parts").alias(f"entry{depth}"))
+        result = result.withColumn("own", F.shiftright("bits", BITS - depth)).join(entry, "own", "left")
+    entry = F.coalesce(*[F.col(f"entry{depth}") for depth, _ in rounds])
+    result = result.select("row", "bits", "bytes", "source", entry.alias("e")).withColumn("part", F.lit(None).cast("string"))
+    if rounds[-1][0] == BITS:
+        # Equal rows over the limit are counted per input partition, which a rerun does not change.
+        equal = Window.partitionBy("bits", "source")
+        fit = F.greatest(F.floor(F.lit(limit) / F.max("bytes").over(equal)), F.lit(1))
+        part = F.floor((F.row_number().over(equal.orderBy("bytes")) - 1) / fit)
+        dealt = result.filter("e.parts > 1").withColumn("part", F.concat_ws(".", "source", part))
+        result = result.filter("e.parts <= 1").unionByName(dealt)
+    prefix = F.when(F.col("e.level") > 0, F.expr("lpad(bin(e.prefix), cast(e.level as int), '0')")).otherwise("")
+    name = F.concat_ws("#", prefix, "part")
+    shard = F.struct(name.alias("name"), F.col("e.level").cast("long").alias("level"), "bytes").alias("shard")
+    return result.select("row.*", shard)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, **options) -> None:
