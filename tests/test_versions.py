@@ -229,3 +229,28 @@ def test_a_dataset_run_fills_the_catalog_that_retries_start_from(spark, talks, r
     work = catalog.retry_worklist(runs, items.select("dataset_id", "interaction_id", "scenario_id", F.lit(None).cast("string").alias("blueprint_id"), "seq"))
     assert rows(work.select("original_run_id", "retry_run_id", "input_path")) == [
         ("t-gone", "t-gone-retry-01", "in/gone.json"), ("t-short", "t-short-retry-02", "in/short.json")]
+
+
+def test_tracks_run_together_equal_those_run_alone(spark, talks, rows, tmp_path):
+    people, turns = talks
+    hint = F.when(F.col("pos") == 0, F.struct(F.lit("AI").alias("judgment_holder"), F.lit("Explicit").alias("delegation_awareness"),
+                  F.lit("Active").alias("cognitive_engagement"), F.lit("None").alias("information_seeking"),
+                  F.lit(None).cast("struct<judgment_holder:string,delegation_awareness:string,cognitive_engagement:string,information_seeking:string>").alias("confidence"),
+                  F.lit(None).cast("map<string,string>").alias("extensions")))
+    turns = turns.withColumn("hint", hint)
+    tracks = {"rules": labels.rule_labels, "hints": labels.hint_labels, "again": labels.rule_labels}
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    path = str(tmp_path / "turns")
+    turns.write.parquet(path)
+    assert scans(labels.together(spark.read.parquet(path), tracks)) == 1
+    run = jobs.extract_together(people, turns, tracks, run_clock=CLOCK)
+    for label, track in tracks.items():
+        alone = jobs.extract(people, turns, track, run_clock=CLOCK)
+        for name in ("states", "deltas", "errors", "manifest"):
+            one = getattr(alone, name)
+            assert rows(getattr(run, name).filter(F.col("label") == label).select(*one.columns)) == rows(one), (label, name)
+    items = people.select("interaction_id", F.lit("train").alias("split"))
+    done = jobs.run_matrix_together(tracks, items, people, turns, out=str(tmp_path / "m"), run_id="r", run_clock=CLOCK, split="train")
+    assert rows(done.groupBy("label", "status").count()) == [
+        ("again", "completed", 2), ("again", "failed", 1), ("hints", "failed", 3), ("rules", "completed", 2), ("rules", "failed", 1)]
+    assert tables.committed_run(spark, str(tmp_path / "m"), "r", "states").count() == 8

@@ -7,7 +7,7 @@ Output: those plus track_name, model_id, prompt_version, the four labels, `confi
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,3 +196,28 @@ def extracts(labels: DataFrame, *, stored_at: str) -> DataFrame:
         ).alias("track_metadata"),
         F.lit(stored_at).alias("stored_at"),
     )
+
+
+def together(turns: DataFrame, tracks: Mapping[str, Callable[..., DataFrame]]) -> DataFrame:
+    """The labels of several tracks from one pass over the turns, one row per turn and `label`.
+
+    A track here is a projection that takes the turns and the columns to `keep`, as `rule_labels`
+    and `hint_labels` are: each adds its result to the row it reads, and the results of a row
+    become rows at the end. Columns that only some tracks give are null for the others.
+    """
+    base, df, own = turns.columns, turns.select("*", F.struct(*turns.columns).alias("_turn")), {}
+    for k, track in enumerate(tracks.values()):
+        carried = ["_turn", *own]
+        done = track(df, keep=carried)
+        lost = [c for c in carried if c not in done.columns]
+        if lost:
+            raise ValueError("a track that is run together with others keeps the columns it is asked to keep")
+        fields = [c for c in done.columns if c not in carried]
+        own[f"_out{k}"] = {c: done.schema[c].dataType for c in fields}
+        df = done.select(*carried, F.struct(*fields).alias(f"_out{k}")).select(*[f"_turn.{c}" for c in base], *carried, f"_out{k}")
+    types = {c: t for fields in own.values() for c, t in fields.items()}
+    value = lambda out, c: (F.col(f"{out}.{c}") if c in own[out] else F.lit(None)).cast(types[c]).alias(c)
+    rows = [
+        F.struct(F.lit(label).alias("label"), *[value(out, c) for c in types]) for label, out in zip(tracks, own)
+    ]
+    return df.select(F.explode(F.array(*rows)).alias("_row")).select("_row.*")

@@ -227,6 +227,54 @@ def run_matrix(
     return rows
 
 
+# Between a label and an interaction id in the key of a run of several tracks.
+LABEL_MARK = "\u001f"
+
+
+def extract_together(
+    interactions: DataFrame, turns: DataFrame, tracks: Mapping[str, Callable[..., DataFrame]], *, run_clock: str,
+    saved: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> Extraction:
+    """`extract` of several tracks at once; every output has the column `label`.
+
+    The turns are read once and labelled in one projection (`labels.together`); a label and an
+    interaction make up the key of everything after it, so all tracks share one shuffle.
+    """
+    keyed = lambda df: df.withColumn("interaction_id", F.concat("label", F.lit(LABEL_MARK), "interaction_id")).drop("label")
+    people = interactions.withColumn("label", F.explode(F.array(*[F.lit(label) for label in tracks])))
+    run = extract(keyed(people), keyed(labels.together(turns, tracks)), lambda rows: rows, run_clock=run_clock, saved=saved)
+    label = F.substring_index("interaction_id", LABEL_MARK, 1)
+    whole = F.expr(f"substring(interaction_id, length(label) + {len(LABEL_MARK)} + 1)")
+    apart = lambda df: df.withColumn("label", label).withColumn("interaction_id", whole)
+    return Extraction(*[apart(getattr(run, name)) for name in Extraction.__dataclass_fields__])
+
+
+def run_matrix_together(
+    tracks: Mapping[str, Callable[..., DataFrame]], items: DataFrame, interactions: DataFrame, turns: DataFrame, *,
+    out: str, run_id: str, run_clock: str, **slice_filters,
+) -> DataFrame:
+    """Run labelled tracks over one slice in one pass; item rows of all labels.
+
+    Every table under `out` is divided by `label` and `run_id`; the run is committed as a whole.
+    """
+    spark = items.sparkSession
+    chosen = slice_items(items, **slice_filters)
+    ids = chosen.select("interaction_id")
+    tables.withdraw_run(spark, out, run_id)
+    saved = lambda df: tables.write_table(df, f"{out}/labels/{run_id}")
+    run = extract_together(
+        interactions.join(ids, "interaction_id", "left_semi"), turns.join(ids, "interaction_id", "left_semi"), tracks,
+        run_clock=run_clock, saved=saved,
+    )
+    written = {"states": run.states, "deltas": run.deltas, "overlays": run.overlays, "run_errors": run.errors, "run_manifests": run.manifest}
+    for name, df in written.items():
+        stored = tables.write_table(df.withColumn("run_id", F.lit(run_id)), f"{out}/{name}", partitions=("label", "run_id"))
+    tables.commit_run(spark, out, run_id, list(written))
+    every = chosen.withColumn("label", F.explode(F.array(*[F.lit(label) for label in tracks])))
+    ended = stored.filter(F.col("run_id") == run_id).drop("run_id")
+    return every.join(ended, ["label", "interaction_id"], "left").withColumn("status", F.coalesce("status", F.lit("failed")))
+
+
 def comparison_labels(extract_rows: DataFrame, run_key: str = "run_key") -> DataFrame:
     """Stored extracts in comparison layout. The run is part of every key."""
     seq = F.col("seq") if "seq" in extract_rows.columns else F.lit(0)

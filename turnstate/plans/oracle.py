@@ -769,3 +769,9 @@ ORACLE |= {
     "split_assign_null_keys": f"""WITH o AS (SELECT CASE WHEN o_orderkey % 9 <> 0 THEN 'o-' || o_orderkey ELSE '' END AS id FROM orders),
       {splits_sql('o', 'id', 8)} SELECT split, count(*) AS item_count FROM splits GROUP BY ALL""",
 }
+_ended = """SELECT interaction_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, CASE WHEN error IS NULL THEN n ELSE 0 END AS state_count,
+  CASE WHEN error IS NULL THEN n - 1 ELSE 0 END AS delta_count, error FROM outcome"""
+ORACLE["matrix_run"] = f"""SELECT 'rules' AS label, * FROM ({OUTCOME.format(BASE, '0', 'turns')} {_ended})
+  UNION ALL SELECT 'hints' AS label, * FROM ({ORACLE['extraction_outcome_hints']})"""
+ORACLE["dataset_run_catalog"] = f"""SELECT 'rules-' || interaction_id AS run_id, interaction_id, 'rules' AS track_name, status, error AS error_message
+  FROM ({ORACLE['extraction_outcome']})"""

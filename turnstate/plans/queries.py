@@ -28,7 +28,7 @@ from turnstate.plans import inputs as IN
 from turnstate.plans import jobs as J
 from turnstate.schemas import FIELDS, INTERACTION
 from turnstate.session import shared_folder
-from turnstate.sinks.tables import preview
+from turnstate.sinks.tables import committed_run, preview
 from turnstate.sources import documents as DOC
 from turnstate.streaming.repaired import current_steps, repaired_steps, resume_labels, stored_labels
 
@@ -1186,3 +1186,27 @@ def split_assign_null_keys(spark, sf):
     key = F.when(F.col("o_orderkey") % 9 != 0, F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")))
     items = IN.table(spark, sf, "orders").select(key.alias("interaction_id"))
     return SP.split_counts(SP.assign_splits(items, seed=8))
+
+
+@query
+def matrix_run(spark, sf):
+    """Two tracks over all interactions in one pass, written and read back as a committed run."""
+    general = lambda df: df.withColumn("context_module", F.lit("general"))
+    people = general(IN.interactions(spark, sf))
+    tracks = {"rules": lambda turns, keep: L.rule_labels(turns, IN.RULE_PHRASES, keep=keep), "hints": L.hint_labels}
+    out = shared_folder(spark, "matrix")
+    J.run_matrix_together(
+        tracks, people.select("interaction_id"), people, general(IN.hinted_turns(spark, sf)), out=out, run_id="all", run_clock=IN.RUN_CLOCK
+    )
+    done = committed_run(spark, out, "all", "run_manifests")
+    return done.select("label", "interaction_id", "status", "state_count", "delta_count", "error")
+
+
+@query
+def dataset_run_catalog(spark, sf):
+    """The run catalog after a dataset run over all interactions, latest row of each run."""
+    people, out = IN.interactions(spark, sf), shared_folder(spark, "dataset-run")
+    rules = lambda turns: L.rule_labels(turns, IN.RULE_PHRASES)
+    J.run_dataset(people.select("interaction_id"), people, IN.turns(spark, sf), rules, track_name="rules", out=out, run_clock=IN.RUN_CLOCK)
+    runs = CAT.latest(spark.read.parquet(f"{out}/runs"), ["run_id"])
+    return runs.select("run_id", "interaction_id", "track_name", "status", "error_message")
