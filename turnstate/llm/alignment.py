@@ -30,7 +30,7 @@ from turnstate.llm.tables import stored
 from turnstate.llm.vocabularies import ByteLevelEncoder, PieceEncoder
 
 CHUNK_TOKENS = 4_000_000  # tokens of both kinds from which a chunk of documents is complete
-MEMO_TOKENS = 2_000_000  # ids in remembered windows; beyond that the next chunk begins a new memo
+MEMO_TOKENS = 4_000_000  # ids in remembered windows; beyond that the next chunk begins a new memo
 ENCODED_CHARS = 500_000  # characters encoded at a time
 
 # A window is its pair of id tuples packed as bytes: 4 for each id, those of the second kind with
@@ -70,9 +70,10 @@ class Windows:
     def cut(self, a: list[int], b: list[int]) -> list[Window]:
         """The windows of a document between its anchors."""
         x, y = np.array(a, np.uint32), np.array(b, np.uint32)
-        ends = [np.cumsum(sizes[ids]) for sizes, ids in zip(self.sizes, (x, y))]
-        _, at_a, at_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
-        at_a, at_b = at_a[:-1] + 1, at_b[:-1] + 1
+        ends_a, ends_b = (np.cumsum(sizes[ids]) for sizes, ids in zip(self.sizes, (x, y)))
+        found = np.searchsorted(ends_b, ends_a[:-1])
+        shared = ends_b[found] == ends_a[:-1]
+        at_a, at_b = np.flatnonzero(shared) + 1, found[shared] + 1
         anchor = self.spaced[0][x[at_a]] & self.spaced[1][y[at_b]]
         # The number of the window of every token; a stable sort by it lays windows side by side.
         of = np.zeros(len(x) + len(y), np.int32)
