@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstate.operators.ordered import HOT_ROWS, adjacent, global_rank
+from turnstate.operators.ordered import HOT_ROWS, adjacent, global_rank, split_hot_keys
 from turnstate.session import shared_table
 
 # Retry suffix.
@@ -152,29 +152,36 @@ def retry_ids(
         F.regexp_replace("run_id", r"-retry-\d{2,}$", "").alias("_base"),
         index.alias("_index"),
     ).filter(F.col("_index") != "")
-    used = saved(used.select("_root", "_base", F.col("_index").cast("bigint").alias("_at")).distinct())
-    base = ["_root", "_base"]
+    used = used.select("_root", "_base", F.col("_index").cast("bigint").alias("_at")).distinct()
+    base, order = ["_root", "_base"], ["_at", "_side", "_tie"]
     rows = positioned.select(
         folder.alias("_root"), base_run_id(F.col("run_id")).alias("_base"), F.col("position").cast("bigint").alias("_at"),
         F.struct(*positioned.columns).alias("_row"),
     )
-    rows, taken = saved(rows), F.col("_row").isNull()
-
-    def merged(used: DataFrame, rows: DataFrame, used_first: bool, **running) -> DataFrame:
-        # Whether a used index counts for a position of the same value is a matter of their order.
-        side = lambda is_used: F.lit(0 if is_used == used_first else 1).alias("_side")
-        both = rows.select("*", side(False)).unionByName(used.select("*", side(True)), allowMissingColumns=True)
-        both = both.withColumn("_tie", F.col("_row.run_id"))
-        return adjacent(both, base, ["_at", "_side", "_tie"], max_rows=max_rows, **running).drop("_side", "_tie")
-
-    both = saved(merged(used, rows, False, counts={"_below": taken, "_k": ~taken}))
-    # Used indexes on the scale of free ones: how many free indexes lie below each.
-    gaps = both.filter(taken).select(*base, (F.col("_at") - F.col("_below") + 1).alias("_at"))
-    lead = F.col("_at") - F.col("_below") - F.col("_k")
-    rows = both.filter(~taken).select(*base, "_at", "_row", "_k", lead.alias("_lead"))
-    rows = adjacent(rows, base, ["_at", "_k"], highest={"_most": F.col("_lead")}, max_rows=max_rows)
-    rows = saved(rows.select(*base, (F.col("_k") + F.col("_most")).alias("_at"), "_row"))
-    slot = merged(gaps, rows, True, counts={"_filled": taken}).filter(~taken)
+    taken = F.col("_row").isNull()
+    # A used index of the same value does not count for a position: the position comes first.
+    both = rows.unionByName(used, allowMissingColumns=True)
+    both = saved(both.withColumn("_side", taken.cast("int")).withColumn("_tie", F.col("_row.run_id")))
+    chunked = split_hot_keys(both, base, F.struct(*order), max_rows=max_rows)
+    upto = Window.partitionBy(*base, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = chunked.withColumns({"_below": F.count_if(taken).over(upto), "_k": F.count_if(~taken).over(upto)})
+    inside = inside.withColumn("_lead", F.when(~taken, F.col("_at") - F.col("_below") - F.col("_k")))
+    # What chunks bring to those after them: counts, and the highest lead on the scale of the whole base.
+    earlier = Window.partitionBy(*base).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = inside.filter("_hot").groupBy(*base, "_chunk").agg(*[F.max(c).alias(c) for c in ("_below", "_k", "_lead")])
+    ends = ends.withColumn("_before", F.coalesce(F.sum(F.col("_below") + F.col("_k")).over(earlier), F.lit(0)))
+    ends = ends.select(
+        *base, "_chunk", F.coalesce(F.sum("_below").over(earlier), F.lit(0)).alias("_used"), "_before",
+        F.max(F.col("_lead") - F.col("_before")).over(earlier).alias("_highest"),
+    )
+    inside = inside.withColumn("_most", F.max("_lead").over(upto)).join(F.broadcast(ends), [*base, "_chunk"], "left")
+    below = F.col("_below") + F.coalesce("_used", F.lit(0))
+    highest = F.greatest("_highest", F.col("_most") - F.coalesce("_before", F.lit(0)))
+    k = F.col("_k") + F.coalesce("_before", F.lit(0)) - F.coalesce("_used", F.lit(0))
+    # Used indexes as the number of free ones below them, positions as the rank of their free index.
+    value = F.when(taken, F.col("_at") - below + 1).otherwise(k + highest)
+    ranked = saved(inside.select(*base, value.alias("_at"), "_row", F.when(taken, 0).otherwise(1).alias("_side"), "_tie"))
+    slot = adjacent(ranked, base, order, counts={"_filled": taken}, max_rows=max_rows).filter(~taken)
     number = F.format_string("%02d", F.col("_at") + F.col("_filled"))
     named = slot.withColumn("retry_run_id", F.concat(F.col("_base"), F.lit("-retry-"), number))
     return named.select("_row.*", "retry_run_id")
