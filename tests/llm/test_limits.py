@@ -32,7 +32,7 @@ def pages(spark, sections, bad, segment):
 
 
 @pytest.mark.parametrize("sections", [20, 150])
-@pytest.mark.parametrize("segment", [None, "*", "+", "\\*"])
+@pytest.mark.parametrize("segment", [None, "*"])
 def test_a_section_is_judged_alike_on_small_and_large_hosts(spark, sections, segment):
     found = url_templates.judge(pages(spark, sections, 7, segment), []).select("bad", "judged.verdict").groupBy("bad", "verdict").count().collect()
     assert {(r["bad"], r["verdict"]): r["count"] for r in found} == {(1, "block"): 60, (0, "allow"): 60 * (sections - 1)}
