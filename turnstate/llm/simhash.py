@@ -262,14 +262,9 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return hashes[order], np.arange(len(found), 0, -1)[order]
 
 
-def needed_overlap(n, m, similarity: float):
-    """Shared shingles that sets of n and m must have to be similar, a little less for rounding."""
-    return (n + m) * (similarity / (1 + similarity)) - 1e-6
-
-
 def can_reach(n, pos, m, at, similarity: float):
     """Whether sets of n and m whose first shared shingle is at these places can be similar."""
-    needed = needed_overlap(n, m, similarity)
+    needed = (n + m) * (similarity / (1 + similarity)) - 1e-6
     return (n - pos >= needed) & (m - at >= needed)
 
 
@@ -338,45 +333,29 @@ def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 def tile_pairs(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            left, right, size = [], [], 0
+            found, size = [], 0
             for row in batch.itertuples(index=False):
                 ids, roots, parts, n, pos = (np.asarray(x, dtype=np.int64) for x in (row.ids, row.roots, row.parts, row.sizes, row.places))
-                members = np.stack([ids, n, pos], axis=1)
                 for k in range(len(ids) - 1):
                     rest = slice(k + 1, None)
-                    fits = (roots[rest] != roots[k]) & (np.minimum(n[rest], n[k]) >= similarity * np.maximum(n[rest], n[k]) - 1e-6)
+                    fits = (roots[rest] != roots[k]) & can_reach(n[k], pos[k], n[rest], pos[rest], similarity)
                     if row.lo != row.hi:
                         fits &= parts[rest] != parts[k]
-                    other = members[rest][fits]
-                    own = np.broadcast_to(members[k], other.shape)
-                    smaller = (own[:, :1] < other[:, :1])
-                    left.append(np.where(smaller, own, other))
-                    right.append(np.where(smaller, other, own))
+                    other = ids[rest][fits]
+                    found.append(np.stack([np.minimum(other, ids[k]), np.maximum(other, ids[k])], axis=1))
                     size += len(other)
                     if size > 100_000:
-                        yield tile_frame(left, right, similarity)
-                        left, right, size = [], [], 0
-            if left:
-                yield tile_frame(left, right, similarity)
+                        yield tile_frame(found)
+                        found, size = [], 0
+            if size:
+                yield tile_frame(found)
 
     return run
 
 
-def tile_frame(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> pd.DataFrame:
-    (a, n, pos), (b, m, at) = np.concatenate(left).T, np.concatenate(right).T
-    frame = pd.DataFrame({"a": a, "b": b, "n": n, "m": m, "reach": can_reach(n, pos, m, at, similarity), "shared": 1})
-    # What a tile has several times need not travel several times.
-    return frame.groupby(["a", "b"], as_index=False).agg({"n": "max", "m": "max", "reach": "max", "shared": "sum"})
-
-
-def overlap_allows(similarity: float):
-    """Whether a pair can be similar, from all its shared prefix shingles.
-
-    Take the set whose prefix ends first in the order of shingles: what the sets share beyond the
-    shared prefix shingles lies behind that prefix, where ceil(similarity n) - 1 shingles are left.
-    """
-    left = lambda size: F.ceil(F.col(size) * similarity - 1e-9) - 1
-    return F.col("shared") + F.greatest(left("n"), left("m")) >= needed_overlap(F.col("n"), F.col("m"), similarity)
+def tile_frame(found: list[np.ndarray]) -> pd.DataFrame:
+    """Each pair once: what a batch has several times need not travel several times."""
+    return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
 
 def similar_texts(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -384,8 +363,8 @@ def similar_texts(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
 
     Pairs are proposed where a shingle of both prefixes is equal, which leaves none out, and
     decided on the whole texts. First each text meets the hub it shares most shingles with, then
-    its other hubs it is not joined with yet, and then all those meet that share a shingle and
-    are not joined yet, as far as the number of shared shingles allows.
+    its other hubs it is not joined with yet, and then all those meet that share a shingle, are
+    not joined yet and can be similar by the places of that shingle.
     """
     rows = prefixes(texts, common_shingles(texts, words), words, similarity)
     # One shuffle finds both the shingles that are shared and their rows.
@@ -407,9 +386,7 @@ def similar_texts(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
     dealt = tiles(rows.join(open_, "shingle"), "id", TILE)
     lists = dealt.groupBy("shingle", "lo", "hi").agg(F.collect_list(F.struct("id", "root", "own", "n", "pos")).alias("m")).filter(F.size("m") > 1)
     lists = lists.select("lo", "hi", *[F.col(f"m.{c}").alias(d) for c, d in (("id", "ids"), ("root", "roots"), ("own", "parts"), ("n", "sizes"), ("pos", "places"))])
-    pairs = lists.mapInPandas(tile_pairs(similarity), "a long, b long, n long, m long, reach boolean, shared long")
-    whole = [F.max("n").alias("n"), F.max("m").alias("m"), F.max("reach").alias("reach"), F.sum("shared").alias("shared")]
-    pairs = pairs.groupBy("a", "b").agg(*whole).filter(F.col("reach") & overlap_allows(similarity)).select("a", "b")
+    pairs = lists.mapInPandas(tile_pairs(similarity), "a long, b long").distinct()
     return links.union(verified(pairs, texts, words, similarity))
 
 
