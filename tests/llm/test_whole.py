@@ -40,6 +40,29 @@ def test_long_texts_are_compared_whole(spark):
     assert len(set(alike.values())) == 2
 
 
+def test_near_copies_are_joined_by_fingerprints_first(spark, monkeypatch):
+    """Without any shared shingle to go by, copies with close fingerprints are still one group."""
+    real, rows, close = simhash.prefixes, [], []
+    monkeypatch.setattr(simhash, "prefixes", lambda *a: real(*a).filter("false"))
+    for k in range(30):
+        text = words(300)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + words(1 + k % 4)))]
+        a, b = (simhash.fingerprint(simhash.shingle_set(t, 5)) for _, t in rows[-2:])
+        close.append((a ^ b).bit_count() <= 3)
+    assert kept(spark, rows) == sorted({2 * k for k in range(30)} | {2 * k + 1 for k in range(30) if not close[k]})
+    assert 10 < sum(close) < 30
+
+
+def test_texts_of_one_fingerprint_are_compared_whole(spark, monkeypatch):
+    """A fingerprint that all texts share proposes links, and only the similar ones are made."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda hashes: 5)
+    rows = []
+    for k in range(10):
+        text = words(60)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + words(1)))]
+    assert kept(spark, rows) == [2 * k for k in range(10)]
+
+
 def test_no_list_grows_with_its_block(spark, monkeypatch):
     """Fingerprints of one block and of one cell, most of them apart: whole result, short lists."""
     monkeypatch.setattr(simhash, "HOT", 16)

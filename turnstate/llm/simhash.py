@@ -9,12 +9,15 @@ Pairs come from blocks, never from all rows: `bit_blocks` for fingerprints (exac
 radii) and `prefixes` for similarities on shingle sets (exact). A large block is cut into parts
 that meet two by two, and only where they are not joined already. Only one of equal texts or
 fingerprints takes part.
+
+Near-duplicates by similarity are joined by fingerprints and pivots first and checked on the whole
+texts; `prefixes` then finds the similar texts whose fingerprints are further apart.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,11 +67,11 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(words: int):
-    """A Pandas UDF: text to fingerprint as a signed long."""
+def fingerprints(words: int, read: Callable[[str | None, int], np.ndarray] = shingle_hashes):
+    """A Pandas UDF: text to fingerprint, of the hashes that `read` gives, as a signed long."""
 
     def run(texts: pd.Series) -> pd.Series:
-        found = np.array([fingerprint(shingle_hashes(t, words)) for t in texts], dtype=np.uint64)
+        found = np.array([fingerprint(read(t, words)) for t in texts], dtype=np.uint64)
         return pd.Series(found.view(np.int64))
 
     return F.pandas_udf(run, "long")
@@ -316,6 +319,17 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return both.filter(similar_pairs(words, similarity)("s", "t")).select("a", "b")
 
 
+def close_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts (id, bits) that join all whose fingerprints reach each other within RADIUS.
+
+    Texts of one fingerprint meet its smallest id; those ids meet where `linked_prints` has a link.
+    """
+    first = stored(texts.groupBy("bits").agg(F.min("id").alias("first")), "distinct-prints")
+    equal = texts.join(first, "bits").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = linked_prints(first.select("bits")).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    return equal.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """(id, hub, shared): each text with one text of its shingle in its own class of sizes and in the next.
 
@@ -330,6 +344,13 @@ def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return met.groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("shared"))
 
 
+def not_joined(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (id, hub, shared) whose two texts the links do not join."""
+    joined = components(links)
+    rows = stars.join(joined.toDF("id", "root"), "id", "left").join(joined.toDF("hub", "other"), "hub", "left")
+    return rows.filter(F.coalesce("root", "id") != F.coalesce("other", "hub")).select("id", "hub", "shared")
+
+
 def tile_pairs(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -359,25 +380,24 @@ def tile_frame(found: list[np.ndarray]) -> pd.DataFrame:
 
 
 def similar_texts(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that join what similar texts (id, text) reach, and no others.
+    """Links (a, b) that join what similar texts (id, text, bits) reach, and no others.
 
-    Pairs are proposed where a shingle of both prefixes is equal, which leaves none out, and
-    decided on the whole texts. First each text meets the hub it shares most shingles with, then
-    its other hubs it is not joined with yet, and then all those meet that share a shingle, are
-    not joined yet and can be similar by the places of that shingle.
+    All pairs are decided on the whole texts. First come those of close fingerprints. The others
+    are proposed where a shingle of both prefixes is equal, which leaves none out: each text
+    meets the hub it shares most shingles with, then its other hubs, and then all those meet that
+    share a shingle and can be similar by its places, each time only where not joined yet.
     """
+    close = stored(verified(close_pairs(texts.select("id", "bits")), texts, words, similarity), "close")
     rows = prefixes(texts, common_shingles(texts, words), words, similarity)
     # One shuffle finds both the shingles that are shared and their rows.
     members = F.count("*").over(Window.partitionBy("shingle"))
     rows = stored(rows.withColumn("members", members).filter("members > 1"), "prefixes")
-    stars = stored(star_pairs(rows, similarity), "star-pairs")
+    stars = stored(not_joined(star_pairs(rows, similarity), close), "star-pairs")
     best = stars.groupBy("id").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
     pair = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
-    links = stored(verified(best.select(*pair).distinct(), texts, words, similarity), "stars")
-    joined = components(links)
-    apart = stars.join(joined.toDF("id", "root"), "id", "left").join(joined.toDF("hub", "other"), "hub", "left")
-    apart = apart.filter(F.coalesce("root", "id") != F.coalesce("other", "hub")).select(*pair).distinct()
     tried = best.select(*pair).distinct()
+    links = stored(close.union(verified(tried, texts, words, similarity)), "stars")
+    apart = not_joined(stars, links).select(*pair).distinct()
     links = stored(links.union(verified(apart.join(tried, ["a", "b"], "left_anti"), texts, words, similarity)), "stars")
     joined = components(links).withColumnRenamed("node", "id")
     rows = rows.drop("members").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -393,7 +413,8 @@ def similar_texts(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates in `docs`, unchanged and with the same columns.
 
-    A group is what links of at least this similarity reach. Its smallest non-null key stays; of
+    A group is what links of at least this similarity reach; close fingerprints propose
+    links first, shared shingles the rest. Its smallest non-null key stays; of
     rows that repeat key and text, one. Texts without words, null ones too, are one group.
     """
     whole = F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16)
@@ -403,8 +424,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     # Rows of one name have one text, so any of their texts is the text. The short number stands
     # for the name in everything that follows; it is fixed once the table is written.
     texts = source.groupBy("name").agg(own, F.first("text").alias("text"))
-    texts = stored(texts.select(F.monotonically_increasing_id().alias("id"), "name", "own", "text"), "texts", compression="zstd")
-    joined = components(similar_texts(texts.select("id", "text"), words, similarity)).withColumnRenamed("node", "id")
+    bits = fingerprints(words, shingle_set)("text").alias("bits")
+    texts = stored(texts.select(F.monotonically_increasing_id().alias("id"), "name", "own", "text", bits), "texts", compression="zstd")
+    joined = components(similar_texts(texts.select("id", "text", "bits"), words, similarity)).withColumnRenamed("node", "id")
     members = texts.select("id", "own", "name").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = members.groupBy("root").agg(F.min(F.struct("own", "name")).alias("least")).select("least.*")
     mark = F.coalesce(F.col("key").cast("string"), F.lit("\\N")).alias("mark")
