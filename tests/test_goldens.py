@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnstate.functions import identity, responses
-from turnstate.functions.text import strip
+from turnstate.functions.text import strip, tokens
 from turnstate.operators import bayes, catalog, compare, contracts, fewshot, generate, labels, prompts, resume, splits, states
 from turnstate.operators.quality import quality_gate
 from turnstate.plans import jobs
@@ -177,6 +177,18 @@ def test_naive_bayes(spark, rows):
     assert rows(bayes.score(texts.limit(1), single, key=["id"], classes={"f": ["X", "Y"]}).select("margin", "level")) == [(1.0, "medium")]
 
 
+def test_naive_bayes_repeats_travel_as_counts(spark, rows):
+    texts = spark.createDataFrame([(1, "b a b A c b"), (2, ""), (3, None)], "id int, text string")
+    words = texts.select("id", F.array_sort(tokens(F.col("text"))).alias("_words"))
+    found = bayes.token_runs(words, ["id"]).select("id", F.explode_outer("_runs").alias("r")).select("id", "r.*")
+    assert sorted(rows(found), key=repr) == [(1, "a", 2), (1, "b", 3), (1, "c", 1), (2, None, None), (3, None, None)]
+    train = spark.createDataFrame([(0, "a b", "X"), (1, "a", "X"), (2, "c", "Y")], "seq int, text string, f string")
+    got = bayes.score(texts, bayes.train(train, ["f"]), key=["id"], classes={"f": ["X", "Y"]}).filter("id = 1")
+    x = math.log(2 / 3) + 2 * math.log(3) + 3 * math.log(2) - 6 * math.log(3 + 3)
+    y = math.log(1 / 3) + math.log(2) - 6 * math.log(1 + 3)
+    assert rows(got.select("token_count", "label", "margin")) == [(6, "X" if x > y else "Y", round(abs(x - y), 9))]
+
+
 def test_naive_bayes_tie_goes_to_first_seen(spark, rows):
     train = spark.createDataFrame([(0, "a", "Y"), (1, "a", "X")], "seq int, text string, f string")
     texts = spark.createDataFrame([(1, "a z")], "id int, text string")

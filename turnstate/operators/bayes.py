@@ -143,13 +143,23 @@ def frequent(weights: DataFrame) -> DataFrame:
     return weights.filter((F.col("_salts") > 1) & (F.col("_salt") == 0)).select("token", "_salts")
 
 
+def token_runs(words: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """`_runs` (token, times) of the sorted `_words` of each row, counted inside the row."""
+    placed = F.transform("_words", lambda w, i: F.struct(w.alias("token"), i.alias("at")))
+    new = lambda w: (w["at"] == 0) | (w["token"] != F.get("_words", w["at"] - 1))
+    firsts = words.select(*kept, F.size("_words").alias("_size"), F.filter(placed, new).alias("_firsts"))
+    end = lambda k: F.coalesce(F.get("_firsts", k + 1)["at"], F.col("_size"))
+    runs = F.transform("_firsts", lambda w, k: F.struct(w["token"].alias("token"), (end(k) - w["at"]).alias("times")))
+    return firsts.select(*kept, runs.alias("_runs"))
+
+
 def score(
     texts: DataFrame, model: Model | Scoring, *, key: Sequence[str],
     classes: Mapping[str, Sequence[str]] = LABEL_CLASSES,
 ) -> DataFrame:
     """Best label and margin per text and field.
 
-    Each token of a text is joined once, whatever the number of classes. A stored `Scoring`
+    Each different token of a text is joined once, whatever the number of classes. A stored `Scoring`
     has a known size, so Spark broadcasts it when it fits and shuffles by (token, salt)
     when it does not.
     """
@@ -157,14 +167,17 @@ def score(
     names = ready.classes
     # The size is taken below the explode; above it, it would be computed once per token.
     words = texts.select(*key, tokens(F.col("text")).alias("_words")).withColumn("_n", F.size("_words"))
+    words = words.select(*key, "_n", F.array_sort("_words").alias("_words"))
+    runs = token_runs(words, [*key, "_n"])
     rows = (
-        words.select(*key, "_n", F.explode_outer("_words").alias("token"))
+        runs.select(*key, "_n", F.explode_outer("_runs").alias("_run"))
+        .select(*key, "_n", "_run.token", "_run.times")
         .join(F.broadcast(ready.frequent), "token", "left")
         .withColumn("_salt", F.pmod(F.hash(*key), F.coalesce("_salts", F.lit(1))))
     )
     sums = rows.join(ready.weights.drop("_salts"), ["token", "_salt"], "left").groupBy(*key).agg(
         F.max("_n").alias("token_count"),
-        *[F.coalesce(F.sum(f"_w{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(names))],
+        *[F.coalesce(F.sum(F.col("times") * F.col(f"_w{i}")), F.lit(0.0)).alias(f"_s{i}") for i in range(len(names))],
     )
     by_class = F.explode(
         F.array(
